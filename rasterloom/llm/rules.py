@@ -126,20 +126,23 @@ def _probability(odds: Column) -> Column:
 def fit(patterns: DataFrame, n_rules: int, rounds: int = ROUNDS) -> Model | None:
     """The accuracies of the rules in each class and the prior, by EM from a table of vote patterns (v, n); None without rows.
 
-    A round is one aggregate over the patterns and brings one row to the driver. Counts are smoothed by one a vote.
+    A round is one aggregate over the patterns and brings three rows a rule to the driver. Counts are smoothed by one a vote.
     """
     v, model = F.col("v"), None
+    patterns = patterns.coalesce(1)  # bounded; in one partition the aggregate needs no shuffle
     for _ in range(rounds):
-        p = patterns.withColumn("p", _probability(_first(v) if model is None else _log_odds(v, model)))
-        sums = [F.sum(F.when(F.get(v, F.lit(j)) == x, w * F.col("n")).otherwise(0.0)) for w in (F.col("p"), 1 - F.col("p")) for j in range(n_rules) for x in VOTES]
-        row = p.agg(F.sum(F.col("p") * F.col("n")), F.sum((1 - F.col("p")) * F.col("n")), *sums).first()
-        if row[0] is None:
+        p = _probability(_first(v) if model is None else _log_odds(v, model))
+        cast = patterns.select("n", p.alias("p"), F.posexplode("v").alias("j", "x")).groupBy("j", "x").agg(F.sum(F.col("p") * F.col("n")).alias("good"), F.sum((1 - F.col("p")) * F.col("n")).alias("bad"))
+        sums = {(r["j"], r["x"]): (r["good"], r["bad"]) for r in cast.collect()}  # three rows a rule at most
+        if not sums:
             return None
-        part = lambda k, total: tuple(tuple((x + 1) / (total + len(VOTES)) for x in row[2 + 3 * (k * n_rules + j) :][:3]) for j in range(n_rules))  # noqa: E731, B023
-        fresh = Model((row[0] + 1) / (row[0] + row[1] + 2), part(0, row[0]), part(1, row[1]))
-        if model and max(abs(a - b) for x, y in ((fresh.good, model.good), (fresh.bad, model.bad)) for u, w in zip(x, y, strict=True) for a, b in zip(u, w, strict=True)) < 1e-7:
-            break
+        total = [sum(sums.get((0, x), (0, 0))[k] for x in VOTES) for k in (0, 1)]
+        part = lambda k: tuple(tuple((sums.get((j, x), (0, 0))[k] + 1) / (total[k] + len(VOTES)) for x in VOTES) for j in range(n_rules))  # noqa: E731, B023
+        fresh = Model((total[0] + 1) / (sum(total) + 2), part(0), part(1))
+        moved = max(abs(a - b) for new, old in ((fresh.good, model.good), (fresh.bad, model.bad)) for u, w in zip(new, old, strict=True) for a, b in zip(u, w, strict=True)) if model else 1
         model = fresh
+        if moved < 1e-5:
+            break
     return model
 
 
