@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontaminate, linededup, packing, rules, simhash
+from . import decontaminate, html, linededup, lm, packing, quality, rules, secrets, simhash, suffixdedup
 from .common import digest_of, table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -41,6 +41,38 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def _remainder(n: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.classify(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels"), learn=_remainder(3) != 1)
+    return found.select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixdedup.suffix_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text")).withColumn("s", F.arrays_zip("kinds", "starts", "ends"))
+    name = lambda s: F.concat_ws(":", s["kinds"], s["starts"], s["ends"])
+    n = lambda kind: F.size(F.filter("kinds", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
+    base = F.transform(F.filter("s", lambda s: s["kinds"] != "model"), name)
+    return found.select("doc_id", n("assign"), n("access"), n("hex"), digest_of(base).alias("base_sha256"), F.array_join(F.transform("s", name), ",").alias("spans"), n("model"))
+
+
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm.score(table(spark, sf_dir, "documents", "doc_id", "text"), _remainder(7) != 2)
+    return found.withColumn("held_out", _remainder(7) == 2)
+
+
+def op9_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.quality_rules(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
@@ -56,5 +88,5 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_decontaminate, op2_simhash, op3_pack, op4_line_dedup, op10_quality_rules]
+    own = [op1_decontaminate, op2_simhash, op3_pack, op4_line_dedup, op5_quality, op6_suffix_dedup, op7_secrets, op8_lm_score, op9_extract, op10_quality_rules]
     return {q.__name__: _shipped(q) for q in own}
