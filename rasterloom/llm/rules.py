@@ -151,12 +151,22 @@ def quality_rules(docs: DataFrame, rules=RULES) -> DataFrame:
 
     base_failed: fewer than 50 words, or over half of them in repeated 3-word windows; such a document isn't kept, whatever
     its posterior. Null text has no words. All documents vote, repeated rows each for itself. An empty table gives an empty
-    table. Other columns pass through.
+    table. Other columns pass through. The features are written once, with the columns of docs.
     """
-    scratch = Scratch(docs.sparkSession, "rules")
-    own = docs.select("text")
-    patterns = scratch.cut(features(own).select(votes(rules).alias("v")).groupBy("v").agg(F.count("*").alias("n")).coalesce(1))
+    return _judged(features(docs), rules)
+
+
+def quality_report(docs: DataFrame, rules=RULES) -> DataFrame:
+    """As quality_rules, without the text."""
+    return _judged(features(docs).drop("text"), rules)
+
+
+def _judged(featured: DataFrame, rules) -> DataFrame:
+    scratch = Scratch(featured.sparkSession, "rules")
+    voted = scratch.cut(featured.withColumn("__v", votes(rules)), "zstd")
+    patterns = scratch.cut(voted.groupBy(F.col("__v").alias("v")).agg(F.count("*").alias("n")).coalesce(1))
     model = fit(patterns, len(rules)) or Model(0.5, ((1 / 3,) * 3,) * len(rules), ((1 / 3,) * 3,) * len(rules))
+    scratch.drop(patterns)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = features(docs).withColumn("__v", votes(rules)).withColumns({"base_failed": failed, "p_good": _probability(_log_odds(F.col("__v"), model))})
+    out = voted.withColumns({"base_failed": failed, "p_good": _probability(_log_odds(F.col("__v"), model))})
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5)).drop("__v")
