@@ -147,7 +147,7 @@ def suffix_classes(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarr
 
 
 def repeated(streams: list[str], min_run: int = MIN_RUN, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> list[np.ndarray]:
-    """For each stream, which of its tokens a run repeated across distinct pages covers; blocks are split by one token."""
+    """For each stream, which of its tokens runs repeated across distinct pages cover; blocks are split by one token."""
     parts = [s.replace(_BREAK, f" {_BREAK} ").split(" ") for s in streams]
     number: dict[str, int] = {}
     sizes = np.array([len(p) + 2 for p in parts], np.int64)
@@ -171,6 +171,12 @@ def repeated(streams: list[str], min_run: int = MIN_RUN, min_pages: int = MIN_PA
     np.add.at(cover, starts, 1)
     np.add.at(cover, starts + min_run, -1)
     covered = np.cumsum(cover)[: len(tokens)] > 0
+    # a run reaches over block ends; of a block it takes all, or min_run tokens or more in a row, but no few words at its edge
+    stop = (tokens == edge) | (tokens < 0)
+    bounds = np.flatnonzero(np.diff(np.concatenate([[False], covered & ~stop, [False]]).astype(np.int8)))
+    for a, b in bounds.reshape(-1, 2):
+        if b - a < min_run and not (stop[a - 1] and stop[b]):
+            covered[a:b] = False
     ends = np.cumsum(sizes)
     return [covered[e - n + 1 : e - 1] for e, n in zip(ends, sizes, strict=True)]
 
