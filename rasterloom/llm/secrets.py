@@ -25,6 +25,8 @@ KINDS = ("assign", "access", "hex", "model")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
 #: Model spans: characters at least, log-likelihood ratio at least, in all and for each character.
 MIN_MODEL, MIN_RATIO, MIN_MEAN = 20, 20.0, 0.9
+#: Counts that smooth a character's transitions.
+BACK_OFF = 200
 #: Labelled random samples for each alphabet, their length, and the seed they are drawn with.
 SAMPLES, SAMPLE_CHARS, SEED = 2000, 40, 7
 
@@ -66,10 +68,12 @@ def pair_counts(data: bytes) -> np.ndarray:
 
 
 def log_transitions(counts: np.ndarray) -> np.ndarray:
-    """Log probabilities of the next character, smoothed by half a count; the row and column of other characters are ignored."""
-    own = counts[1:, 1:] + 0.5
+    """Log probabilities of the next character, smoothed by BACK_OFF counts dealt as characters come at all; the row and column of
+    other characters are ignored."""
+    own = counts[1:, 1:].astype(np.float64)
+    share = (own.sum(0) + 0.5) / (own.sum() + 0.5 * len(own))
     out = np.zeros((WIDTH, WIDTH))
-    out[1:, 1:] = np.log(own / own.sum(1, keepdims=True))
+    out[1:, 1:] = np.log((own + BACK_OFF * share) / (own.sum(1, keepdims=True) + BACK_OFF))
     return out
 
 
