@@ -24,7 +24,7 @@ KINDS = ("assign", "access", "hex", "model")
 #: A group 2, an access key and a hex string of fewer characters fail.
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
 #: Model spans: characters at least, log-likelihood ratio at least, in all and for each character.
-MIN_MODEL, MIN_RATIO, MIN_MEAN = 20, 20.0, 0.9
+MIN_MODEL, MIN_RATIO, MIN_MEAN = 20, 15.0, 0.6
 #: Counts that smooth a character's transitions.
 BACK_OFF = 200
 #: Labelled random samples for each alphabet, their length, and the seed they are drawn with.
