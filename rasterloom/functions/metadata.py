@@ -48,3 +48,13 @@ def tile_url(service: Column, x: Column, y: Column, z: Column) -> Column:
         at = F.instr(out, "{" + name + "}")
         out = F.when(at > 0, F.concat(F.substring(out, 1, at - 1), value.cast("string"), F.substring(out, at + F.length(mark), F.length(out)))).otherwise(out)
     return out
+
+
+def valid_urls(value) -> bool:
+    """None, a string, or a list of strings."""
+    return value is None or isinstance(value, str) or isinstance(value, (list, tuple)) and all(isinstance(v, str) for v in value)
+
+
+def same_urls(a, b) -> bool:
+    """Element by element; a single URL is no list of one."""
+    return type(a) is type(b) and (list(a) == list(b) if isinstance(a, (list, tuple)) else a == b)

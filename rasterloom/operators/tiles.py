@@ -128,3 +128,19 @@ def focal(pixels: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return neighbours(pixels, keys).select(*keys, "row", "col", (sum(cols[1:], cols[0]) / 9).alias("mean"), F.least(*cols).alias("least"), F.greatest(*cols).alias("most"))
 
 
+
+
+def resample(pixels: DataFrame, keys: tuple[str, ...], size: int, to: int, linear: bool = True) -> DataFrame:
+    """Tiles of size pixels a side as tiles of `to` a side: bilinear between pixel centres, or the nearest pixel."""
+    step = size / to
+    place = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(size - 1.0), (F.col(c) + 0.5) * step - 0.5))
+    grid = pixels.select(*keys).distinct().withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(to - 1)))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(to - 1))))
+    own = pixels.select(*keys, "row", "col", "v")
+    if not linear:
+        near = lambda c: F.least(F.lit(size - 1), F.floor((F.col(c) + 0.5) * step)).cast("int")
+        return grid.withColumns({"row": near("r"), "col": near("c")}).join(own, [*keys, "row", "col"]).select(*keys, F.col("r").alias("row"), F.col("c").alias("col"), "v")
+    y, x = place("r"), place("c")
+    y0, x0 = F.floor(y), F.floor(x)
+    corners = F.array(*(F.struct((y0 + i).alias("row"), (x0 + j).alias("col"), ((1 - (y - y0) if not i else y - y0) * (1 - (x - x0) if not j else x - x0)).alias("w")) for i in (0, 1) for j in (0, 1)))
+    parts = grid.select(*keys, "r", "c", F.inline(corners)).where("w > 0").withColumns({"row": F.col("row").cast("int"), "col": F.col("col").cast("int")})
+    return parts.join(own, [*keys, "row", "col"]).groupBy(*keys, "r", "c").agg(F.sum(F.col("w") * F.col("v")).alias("v")).select(*keys, F.col("r").alias("row"), F.col("c").alias("col"), "v")
