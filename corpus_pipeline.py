@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import decontaminate, linededup, packing, rules, simhash
-from rasterloom.llm.common import Scratch, table
+from rasterloom.llm.common import Scratch, cleaned, table
 from rasterloom.llm.queries import tokenizer_path
 from rasterloom.session import ship
 
@@ -60,9 +60,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read again."""
+    """All stages over documents; each result is written to the shared folder and read again, and goes when the next one is there."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = scratch.cut(stage(spark, docs, sf_dir))
+        with cleaned(spark):
+            kept = scratch.cut(stage(spark, docs, sf_dir))
+        scratch.drop(docs)
+        docs = kept
     return docs

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -53,13 +54,27 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
         pass
 
 
+_open: list[str] = []
+
+
+@contextlib.contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Removes the scratch tables of operators called inside, at the end: for results that are written inside, too."""
+    before = len(_open)
+    try:
+        yield
+    finally:
+        remove(spark, *_open[before:])
+        del _open[before:]
+
+
 class Scratch:
     """Tables written to the shared folder. They survive lost executors and cut the lineage; drop() removes those no longer read, the rest go at exit."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/rasterloom/{name}-{uuid.uuid4().hex}"
         self.n = 0
-        self.paths: dict[int, str] = {}
+        _open.append(self.root)
         atexit.register(_remove_at_exit, spark, self.root)
 
     def cut(self, df: DataFrame, codec: str = "snappy") -> DataFrame:
@@ -68,7 +83,6 @@ class Scratch:
         self.n += 1
         df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._scratch_path = path
         return out
 
