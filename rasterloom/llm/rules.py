@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import WHITE, Scratch
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: EM rounds at most; before the first, the log odds of good are FIRST[0] + FIRST[1] * good votes - FIRST[2] * bad votes.
+#: EM rounds; before the first, the log odds of good are FIRST[0] + FIRST[1] * good votes - FIRST[2] * bad votes.
 ROUNDS, FIRST = 25, (1.0, 0.7, 2.5)
 #: Common words of the corpus's four languages.
 STOP_WORDS = "the and of to in that is for with de la que el en los des les et une und der die das ist von y"
@@ -91,7 +91,7 @@ def features(docs: DataFrame) -> DataFrame:
         "n_repeat_words": _repeat_words(F.col("__words")).cast("long"),
         "n_upper": less(F.col("__text"), "\\p{Lu}+"),
         "n_stop": F.size(F.filter("__words", lambda w: F.array_contains(stops, w))).cast("long"),
-        "n_ends": less(F.col("__text"), "(?<=[^.!?\\s])[.!?](?=\\s|$)"),
+        "n_ends": less(F.col("__text"), "(?<=[^.!?\\s])[.!?](?=\\s|\\z)"),
         "n_lines_words": F.size("__lines").cast("long"),
     }
     return held(d, cols).drop("__text", "__words", "__lines")
@@ -138,11 +138,7 @@ def fit(patterns: DataFrame, n_rules: int, rounds: int = ROUNDS) -> Model | None
             return None
         total = [sum(sums.get((0, x), (0, 0))[k] for x in VOTES) for k in (0, 1)]
         part = lambda k: tuple(tuple((sums.get((j, x), (0, 0))[k] + 1) / (total[k] + len(VOTES)) for x in VOTES) for j in range(n_rules))  # noqa: E731, B023
-        fresh = Model((total[0] + 1) / (sum(total) + 2), part(0), part(1))
-        moved = max(abs(a - b) for new, old in ((fresh.good, model.good), (fresh.bad, model.bad)) for u, w in zip(new, old, strict=True) for a, b in zip(u, w, strict=True)) if model else 1
-        model = fresh
-        if moved < 1e-5:
-            break
+        model = Model((total[0] + 1) / (sum(total) + 2), part(0), part(1))
     return model
 
 

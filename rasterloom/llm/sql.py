@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import rules
+
 _A_Z, _a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LOW = f"translate({{}}, '{_A_Z}', '{_a_z}')"
 #: [\x20\x09-\x0D], as characters to strip.
@@ -32,5 +34,56 @@ from f group by doc_id
 """
 
 
+OP6 = """
+with d as (select doc_id, encode(coalesce(text, '')) b from documents),
+w as (select doc_id, i, md5(array_slice(b, i + 1, i + 400)) k from (select doc_id, b, unnest(range(0, octet_length(b) - 399)) i from d where octet_length(b) >= 400)),
+s as (select doc_id, i from w semi join (select k from w group by k having count(*) > 1) using (k)),
+g as (select doc_id, i, sum(case when i - before <= 400 then 0 else 1 end) over (partition by doc_id order by i) run from (select *, lag(i) over (partition by doc_id order by i) before from s)),
+r as (select doc_id, min(i) a, max(i) + 400 z from g group by doc_id, run),
+cuts as (select doc_id, z lo, lead(a) over (partition by doc_id order by a) hi from r union all select doc_id, 0, min(a) from r group by doc_id),
+kept as (select doc_id, string_agg(hex(array_slice(b, lo + 1, coalesce(hi, octet_length(b)))), '' order by lo) h from cuts join d using (doc_id) where lo < coalesce(hi, octet_length(b)) group by doc_id),
+n as (select doc_id, sum(z - a) removed, count(*) spans from r group by doc_id)
+select doc_id, octet_length(b)::bigint n_bytes, coalesce(removed, 0)::bigint n_removed, coalesce(spans, 0)::bigint n_spans, case when removed is null then sha256(b) else sha256(unhex(coalesce(h, ''))) end kept_sha256
+from d left join n using (doc_id) left join kept using (doc_id)
+"""
+
+
+def _op10() -> str:
+    """Features, votes and all rounds of EM, each round two steps over the vote patterns."""
+    stops = ", ".join(f"'{w}'" for w in rules.STOP_WORDS.split())
+    votes = ", ".join(f"case when {r.bad} then -1 when {r.good} then 1 else 0 end" for r in rules.RULES)
+    a, g, b = rules.FIRST
+    steps = []
+    for k in range(rules.ROUNDS):
+        if not k:
+            steps.append(f"o0 as materialized (select v, any_value(n) n, {a!r}::double + {g!r}::double * count(*) filter (where x = 1) - {b!r}::double * count(*) filter (where x = -1) odds from long group by v)")
+        else:
+            steps.append(f"o{k} as materialized (select v, any_value(n) n, any_value(prior) + sum(ratio) odds from long join m{k - 1} using (j, x) group by v)")
+        steps.append(f"p{k} as materialized (select v, n, 1 / (1 + exp(-odds)) p from o{k})")
+        steps.append(f"t{k} as materialized (select sum(p * n) good, sum((1 - p) * n) bad from p{k})")
+        steps.append(
+            f"m{k} as materialized (select j, x, ln(((sum(p * l.n) + 1) / (any_value(good) + 3)) / ((sum((1 - p) * l.n) + 1) / (any_value(bad) + 3))) ratio, "
+            f"any_value(ln((good + 1) / (bad + 1))) prior from long l join p{k} using (v), t{k} group by j, x)"
+        )
+    return f"""
+with d as (select doc_id, coalesce(text, '') t from documents),
+w as (select doc_id, t, regexp_extract_all(t, '[^ \t\n\x0B\f\r]+') w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ \t\n\x0B\f\r]')) l from d),
+win as (select doc_id, i, xxh from (select doc_id, unnest(range(1, len(w) - 1)) i, w from w where len(w) > 3), lateral (select list_slice(w, i, i + 2) xxh)),
+hit as (select doc_id, count(distinct p) n from (select doc_id, unnest([i, i + 1, i + 2]) p from win semi join (select doc_id, xxh from win group by all having count(*) > 1) using (doc_id, xxh)) group by doc_id),
+f as (select doc_id, len(w)::bigint n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint word_chars,
+ (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint n_symbols, (len(l) - len(list_distinct(l)))::bigint n_dup_lines, coalesce(hit.n, 0)::bigint n_repeat_words,
+ length(t) - length(regexp_replace(t, '\\p{{Lu}}', '', 'g')) n_upper, len(list_filter(w, lambda x: x in ({stops}))) n_stop,
+ len(list_filter(w, lambda x: regexp_matches(x, '[^.!?][.!?]$'))) n_ends, len(l) n_lines_words from w left join hit using (doc_id)),
+voted as (select *, [{votes}] v from f),
+pat as materialized (select v, count(*)::double n from voted group by v),
+long as materialized (select v, n, unnest(range(0, len(v))) j, unnest(v) x from pat),
+{("," + chr(10)).join(steps)},
+last as materialized (select v, any_value(prior) + sum(ratio) odds from long join m{rules.ROUNDS - 1} using (j, x) group by v)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {rules.MIN_WORDS} or 100 * n_repeat_words > {rules.MAX_REPEAT_PERCENT} * n_words base_failed,
+not (n_words < {rules.MIN_WORDS} or 100 * n_repeat_words > {rules.MAX_REPEAT_PERCENT} * n_words) and 1 / (1 + exp(-odds)) >= 0.5 kept, round(1 / (1 + exp(-odds)), 4) p_good
+from voted join last using (v)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op4_line_dedup": OP4}
+    return {"op1_decontaminate": OP1, "op4_line_dedup": OP4, "op6_suffix_dedup": OP6, "op10_quality_rules": _op10()}
