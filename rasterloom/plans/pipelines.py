@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -108,3 +110,12 @@ def tile(tiles: DataFrame, o: Options, **options) -> DataFrame:
 def progressive(tiles: DataFrame, least_zoom: int, o: Options) -> tuple[DataFrame, DataFrame]:
     """Two passes: the overview first, then the detail."""
     return tile(tiles.where(F.col("z") <= least_zoom), o), tile(tiles.where(F.col("z") > least_zoom), o)
+
+
+def all_bands(tiles: DataFrame, o: Options, **options) -> DataFrame:
+    """Every band's product from one read: keys, band and the product's columns. Each band is taken as a tile of one channel."""
+    single = replace(o, use_channel=1, use_channel_index=None)
+    own = tiles.withColumn("dataset", F.struct("dataset", "band")).withColumn("band", F.lit(1))
+    out = tile(own, single, **options)
+    rest = [c for c in out.columns if c not in KEYS]
+    return out.select(F.col("dataset.dataset").alias("dataset"), "z", "x", "y", F.col("dataset.band").alias("band"), *rest)

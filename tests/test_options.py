@@ -66,3 +66,12 @@ def test_glaze_matches_window_form(spark, tiles):
     a = {(r.row, r.col): r.v for r in pipelines.to_pixels(own, ("dataset",)).collect()}
     b = {(r.row - 1, r.col - 1): float(r.m) for r in mask.collect()}
     assert a == b
+
+
+def test_all_bands(tiles):
+    two = tiles(17).withColumn("band", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("pixels", F.transform("pixels", lambda v: v * F.col("band")))
+    got = {r.band: r.max_z for r in pipelines.all_bands(two.withColumn("nodata", F.col("nodata") * F.col("band")), merge(type="terrain")).collect()}
+    assert set(got) == {1, 2} and got[2] == pytest.approx(2 * got[1])
+    one = pipelines.bitmap(two.where("band = 1"), merge(use_channel=1))
+    both = pipelines.all_bands(two, merge())
+    assert both.where("band = 1").drop("band").exceptAll(one).count() == 0
