@@ -7,7 +7,7 @@ agrees on all bits that some table keeps: no pair is missed, whatever the data.
 
 Equal fingerprints are one row from the start, so exact copies cost nothing further. A bucket with more than DENSE different
 fingerprints is split again by covering tables over the bits that its table ignores, and again over those that the second one
-ignores: what is left are at most 16 or so free bits, compared by probing the few possible differences instead of all pairs.
+ignores. Then at most 6 bits are free, so no bucket holds more than 64 fingerprints, however many near copies there are.
 Links inside a bucket are reduced to a spanning forest; components join them across buckets.
 """
 
@@ -94,22 +94,9 @@ def _forest(fp: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links between fingerprints within the radius."""
     n = len(fp)
     fp = fp.view(np.uint64)
-    if n <= 2 * DENSE:
-        i, j = np.triu_indices(n, 1)
-        ok = np.bitwise_count(fp[i] ^ fp[j]) <= RADIUS
-        i, j = i[ok], j[ok]
-    else:  # probe each fingerprint changed in one or two of the bits in which the bucket's fingerprints differ at all
-        free = int(np.bitwise_or.reduce(fp ^ fp[0]))
-        bits = [np.uint64(1 << b) for b in range(BITS) if free >> b & 1]
-        order = np.argsort(fp)
-        ranked, ii, jj = fp[order], [], []
-        for d in bits + [a | b for k, a in enumerate(bits) for b in bits[k + 1 :]]:
-            at = np.searchsorted(ranked, fp ^ d)
-            hit = np.flatnonzero((at < n) & (ranked[np.minimum(at, n - 1)] == (fp ^ d)))
-            ii.append(hit)
-            jj.append(order[at[hit]])
-        i, j = np.concatenate(ii), np.concatenate(jj)
-        i, j = i[i < j], j[i < j]
+    i, j = np.triu_indices(n, 1)
+    ok = np.bitwise_count(fp[i] ^ fp[j]) <= RADIUS
+    i, j = i[ok], j[ok]
     root = list(range(n))
 
     def find(x: int) -> int:

@@ -67,6 +67,10 @@ def test_masks_cover_every_pair():
     assert len(masks) == 7 and all(any(not (m >> i & 1 or m >> j & 1) for m in masks) for i in range(64) for j in range(64))
 
 
+def test_buckets_are_bounded():
+    assert max(64 - bin(kept).count("1") for path, kept in simhash._tree(3).items() if len(path) == 3) == 6
+
+
 @pytest.mark.parametrize("dense", [256, 3])
 def test_components(spark, dense):
     rng = np.random.default_rng(5)
