@@ -6,6 +6,8 @@ All stages but the last return the columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,29 +17,39 @@ from rasterloom.llm.queries import tokenizer_path
 from rasterloom.session import ship
 
 
+def _apart(docs: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The operator's result in the columns of docs, whose further columns keep their values whatever the operator calls its own."""
+    needed = {"doc_id", "text", "n_chars"}
+    names = {c: c if c.lower() in needed else f"__own_{k}" for k, c in enumerate(docs.columns)}
+    out = operator(docs.withColumnsRenamed(names))
+    return out.select(*(F.col(n).alias(c) for c, n in names.items()))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return rules.quality_rules(docs).where("kept").select(*docs.columns)
+    return _apart(docs, lambda d: rules.quality_rules(d).where("kept"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; n_chars follows the text."""
-    out = linededup.line_dedup(docs)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*docs.columns)
+
+    def dedup(d: DataFrame) -> DataFrame:
+        out = linededup.line_dedup(d)
+        return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in d.columns else out
+
+    return _apart(docs, dedup)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays."""
     ship(spark)
-    return simhash.simhash_dedup(docs).select(*docs.columns)
+    return _apart(docs, simhash.simhash_dedup)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages go."""
     ship(spark)
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return _apart(docs, lambda d: decontaminate.decontaminate(d, table(spark, sf_dir, "benchmark")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

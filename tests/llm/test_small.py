@@ -180,3 +180,20 @@ def test_html(spark):
     assert html.extract(pages.limit(0)).count() == 0
     small = html.extract(pages, group_tokens=60)
     assert small.count() == len(rows)
+
+
+def test_pipeline_keeps_further_columns(spark, data, docs, empty):
+    import corpus_pipeline
+
+    more = [(100 + k, " ".join(f"tok{k}x{i} the of and." for i in range(80))) for k in range(3)]
+    now = docs.unionByName(spark.createDataFrame(more, SCHEMA), allowMissingColumns=True)
+    own = {c: None for c in CLASH}
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, now, data)
+        assert out.columns == now.columns
+        rows = out.select(*CLASH).distinct().collect()
+        assert {tuple(r) for r in rows} <= {("own",) * len(CLASH), tuple(own.values())}
+    none = empty.withColumns({c: F.lit("own") for c in ("kept", "lang")})
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, data)
+        assert none.count() == 0
