@@ -95,13 +95,15 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """The batch in slices whose text column has SLICE_BYTES at most, or one row."""
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose text column has so many bytes at most, or one row."""
+    import pyarrow.compute  # noqa: F401  loads pa.compute
+
     texts = batch.column(batch.schema.get_field_index(column))
     sizes = pa.compute.binary_length(texts).fill_null(0).to_pylist() if len(batch) else []
     at = total = 0
     for i, n in enumerate(sizes):
-        if total and total + n > SLICE_BYTES:
+        if total and total + n > most:
             yield batch.slice(at, i - at)
             at, total = i, 0
         total += n
@@ -110,8 +112,6 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    import pyarrow.compute  # noqa: F401  loads pa.compute
-
     for b in batches:
         yield from slices(b, column)
 

@@ -23,11 +23,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, rows_of
+from .common import Scratch, rows_of, slices
 
 MIN_BYTES, GRAM = 400, 128
 #: Different regions of an anchor that are compared in one block at most; a block's bytes; windows that are hashed at once.
 DENSE, BLOCK_BYTES, CHUNK = 800, 600_000, 1 << 18
+#: Bytes of regions whose windows make one Arrow batch.
+WINDOW_BYTES = 100_000
 _PLACE = 19
 _SEED = np.random.default_rng(3)
 _BYTE = _SEED.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -213,12 +215,15 @@ def _pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
 
 def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """A row for each window of a region: two hashes of it."""
-    for b in batches:
-        for i in range(len(b)):
-            key, doc, tag, start, data = (b.column(c)[i].as_py() for c in range(5))
-            n = len(data) - size + 1
-            h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[k : k + size]) for k in range(n)), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array([doc] * n, pa.int64()), pa.array([tag] * n, pa.int32()), pa.array(np.arange(start, start + n)), pa.array(h[:, 0]), pa.array(h[:, 1])], ["key", "doc", "tag", "start", "h1", "h2"])
+    names = ["key", "doc", "tag", "start", "h1", "h2"]
+    for whole in batches:
+        for b in slices(whole, "data", WINDOW_BYTES):
+            data = [bytes(x) for x in b.column(4).to_pylist()]
+            n = np.array([len(x) - size + 1 for x in data])
+            h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x[k : k + size]) for x, m in zip(data, n.tolist(), strict=True) for k in range(m)), "<i8").reshape(-1, 2)
+            own = b.take(pa.array(np.repeat(np.arange(len(b)), n)))
+            starts = _ranges(np.array(b.column(3)), n)
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), pa.array(starts), pa.array(h[:, 0]), pa.array(h[:, 1])], names)
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
