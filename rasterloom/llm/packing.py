@@ -13,10 +13,10 @@ bounded size; text splits at blanks and newlines, which the tokenizer drops and
 from __future__ import annotations
 
 import heapq
+import struct
 import unicodedata
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +42,14 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+#: Signs that end a word and are parts of their own after letters.
+_ENDS = frozenset(",.!?;:")
+
+
+def _ids_bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordIds(dict):
     """Little-endian unsigned 32-bit ids of words (text without blanks and newlines), as the tokenizer encodes them.
 
@@ -63,19 +71,26 @@ class WordIds(dict):
         found = self.pieces.get(part)
         if found is None:
             shown = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
-            found = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            found = _ids_bytes([t.id for t in self.model.tokenize(shown)])
             if len(self.pieces) >= self.memo:
                 self.pieces.clear()
             self.pieces[part] = found
         return found
 
-    def __missing__(self, word: str) -> bytes:
+    def _ids(self, word: str) -> bytes:
+        if word.isascii():
+            if word.isalpha():
+                return self._piece(word.lower())
+            if word[-1:] in _ENDS and word[:-1].isalpha():
+                return self._piece(word[:-1].lower()) + self._piece(word[-1])
         plain = word.isprintable() and "<|" not in word and (word.isascii() or max(word) < "ɐ" and "İ" not in word and unicodedata.is_normalized("NFC", word))
-        if plain:
-            low = word.lower()
-            ids = self._piece(low) if low.isalpha() else b"".join(map(self._piece, self.parts.findall(low)))
-        else:
-            ids = np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if not plain:
+            return _ids_bytes(self.whole.encode(word, add_special_tokens=False).ids)
+        low = word.lower()
+        return self._piece(low) if low.isalpha() else b"".join(map(self._piece, self.parts.findall(low)))
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self._ids(word)
         if len(self) >= self.memo:
             self.clear()
         self[word] = ids
@@ -115,6 +130,7 @@ def pack_block(pieces: list[tuple[int, int, int]], capacity: int) -> list[list[t
         if room[s]:
             heapq.heappush(heap, (load[s], s))
 
+    least, tight = min((p[2] for p in pieces), default=0), []
     for doc, start, size in sorted(pieces, key=lambda p: (-p[2], p[0], p[1])):
         passed, placed = [], False
         while heap:
@@ -123,11 +139,13 @@ def pack_block(pieces: list[tuple[int, int, int]], capacity: int) -> list[list[t
                 put(s, doc, start, size)
                 placed = True
                 break
-            passed.append((c, s))
+            (passed if room[s] >= least else tight).append((c, s))  # no whole piece fits a tight one any more
         for x in passed:
             heapq.heappush(heap, x)
         if not placed:
             put_off.append((doc, start, size))
+    for x in tight:
+        heapq.heappush(heap, x)
     for doc, start, size in put_off:  # cut over the cheapest sequences with room
         while size:
             _, s = heapq.heappop(heap)
@@ -141,7 +159,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: i
     from pyspark import TaskContext
 
     encode = word_ids(path).encode
-    end = np.array([end_id], "<u4").tobytes()
+    end = _ids_bytes([end_id])
     task = TaskContext.get()
     sequence = (task.partitionId() if task else 0) << 32
     rows: dict[str, list] = {k: [] for k in _PIECES.names}
