@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import decontaminate, linededup, packing, rules, simhash
+from rasterloom.llm import decontaminate, jaccard, linededup, packing, rules, simhash
 from rasterloom.llm.common import Scratch, cleaned, table
 from rasterloom.llm.queries import tokenizer_path
 from rasterloom.session import ship
@@ -41,9 +41,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays."""
+    """One document of each near-duplicate component stays: links are fingerprints within op2's radius, or 5-word Jaccard of 0.8 or more."""
     ship(spark)
-    return _apart(docs, simhash.simhash_dedup)
+    return _apart(docs, lambda d: jaccard.near_dedup(d, simhash.near_duplicates(d)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
