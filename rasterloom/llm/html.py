@@ -7,7 +7,8 @@ suffixes that share MIN_RUN tokens or more and come from enough distinct pages a
 element keeps the runs that boilerplate leaves uncovered. A page with one keeps the blocks of its article, whole: text that
 articles of a host share (licence lines, passages) is no boilerplate there.
 
-Hosts with many tokens are dealt into several groups of bounded size, each with pages enough to show what the host repeats.
+Hosts with many tokens are dealt into several groups of bounded size. Each group counts its runs by suffix array; the counts of
+equal runs are added over the host, so what is boilerplate doesn't depend on the groups.
 """
 
 from __future__ import annotations
@@ -18,13 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, rows_of
 
-#: Tokens of a repeated run at least, distinct pages that have it at least (and this share of the group), tokens of a group.
+#: Tokens of a repeated run at least, distinct pages that have it at least (and this share of the host's), tokens of a group.
 MIN_RUN, MIN_PAGES, MIN_SHARE, GROUP_TOKENS = 8, 3, 0.05, 200_000
+#: So many distinct pages are enough on a host of any size.
+ENOUGH_PAGES = 10
 
 #: Elements that end a block, that are left out whole, and words of class, id or role that leave an element out (fixed values).
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
@@ -146,33 +150,37 @@ def suffix_classes(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarr
     return order, rank
 
 
-def repeated(streams: list[str], min_run: int = MIN_RUN, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> list[np.ndarray]:
-    """For each stream, which of its tokens runs repeated across distinct pages cover; blocks are split by one token."""
+def _tokens(streams: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """Token numbers of all streams (0: a break; below 0: a stream's end), each stream's number of them, the words by number, the stream of each."""
     parts = [s.replace(_BREAK, f" {_BREAK} ").split(" ") for s in streams]
-    number: dict[str, int] = {}
+    number: dict[str, int] = {_BREAK: 0}
     sizes = np.array([len(p) + 2 for p in parts], np.int64)
     tokens = np.empty(int(sizes.sum()), np.int64)
-    at, page = 0, np.repeat(np.arange(len(parts)), sizes)
-    edge = number.setdefault(_BREAK, 0)
+    at = 0
     for k, p in enumerate(parts):
-        own = [edge, *(number.setdefault(t, len(number)) for t in p)]
+        own = [0, *(number.setdefault(t, len(number)) for t in p)]
         tokens[at : at + len(own)] = own
         tokens[at + len(own)] = -1 - k  # ends the page: equal to nothing
         at += len(own) + 1
-    order, rank = suffix_classes(tokens, min_run)
-    # distinct pages of each interval of suffixes with the same first min_run tokens; copies of a whole page count once
+    return tokens, sizes, list(number), np.repeat(np.arange(len(parts)), sizes)
+
+
+def _page_counts(streams: list[str], rank: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, int]:
+    """Distinct pages by rank, and in all; copies of a whole page count once."""
     kinds: dict[str, int] = {}
     kind = np.array([kinds.setdefault(s, len(kinds)) for s in streams], np.int64)
     pairs = np.unique(np.stack([rank, kind[page]], 1), axis=0)
-    pages = np.bincount(pairs[:, 0], minlength=len(rank) + 1)
-    need = max(min_pages, min_share * len(kinds))
-    starts = np.flatnonzero(pages[rank] >= need)
+    return np.bincount(pairs[:, 0], minlength=len(rank) + 1), len(kinds)
+
+
+def _masks(tokens: np.ndarray, sizes: np.ndarray, starts: np.ndarray, min_run: int) -> list[np.ndarray]:
+    """For each stream, which of its tokens the runs at starts cover."""
     cover = np.zeros(len(tokens) + min_run + 1, np.int64)
     np.add.at(cover, starts, 1)
     np.add.at(cover, starts + min_run, -1)
     covered = np.cumsum(cover)[: len(tokens)] > 0
     # a run reaches over block ends; of a block it takes all, or min_run tokens or more in a row, but no few words at its edge
-    stop = (tokens == edge) | (tokens < 0)
+    stop = tokens <= 0
     bounds = np.flatnonzero(np.diff(np.concatenate([[False], covered & ~stop, [False]]).astype(np.int8)))
     for a, b in bounds.reshape(-1, 2):
         if b - a < min_run and not (stop[a - 1] and stop[b]):
@@ -181,6 +189,32 @@ def repeated(streams: list[str], min_run: int = MIN_RUN, min_pages: int = MIN_PA
     return [covered[e - n + 1 : e - 1] for e, n in zip(ends, sizes, strict=True)]
 
 
+def repeated(streams: list[str], min_run: int = MIN_RUN, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> list[np.ndarray]:
+    """For each stream, which of its tokens runs repeated across distinct pages cover; blocks are split by one token."""
+    tokens, sizes, _, page = _tokens(streams)
+    _, rank = suffix_classes(tokens, min_run)
+    pages, n = _page_counts(streams, rank, page)
+    need = max(min_pages, min(min_share * n, ENOUGH_PAGES))
+    return _masks(tokens, sizes, np.flatnonzero(pages[rank] >= need), min_run)
+
+
+def _runs(streams: list[str], min_run: int) -> tuple:
+    """Tokens, their numbers by stream, the rank of each start, the ranks of runs that end inside their stream with their hashes and distinct pages."""
+    tokens, sizes, names, page = _tokens(streams)
+    order, rank = suffix_classes(tokens, min_run)
+    pages, _ = _page_counts(streams, rank, page)
+    ranks, at = np.unique(rank, return_index=True)
+    inside = np.concatenate([[0], np.cumsum(tokens < 0)])
+    whole = (at + min_run <= len(tokens)) & (inside[np.minimum(at + min_run, len(tokens))] == inside[at])
+    ranks, at = ranks[whole], at[whole]
+    word = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) for w in names], np.uint64)
+    h = np.zeros(len(at), np.uint64)
+    for j in range(min_run):
+        h = (h ^ word[tokens[at + j]]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return tokens, sizes, rank, ranks, h.view(np.int64), pages[ranks]
+
+
 def unique_text(stream: str, covered: np.ndarray) -> str:
     """The stream's runs that boilerplate leaves uncovered, by block."""
     tokens = stream.replace(_BREAK, f" {_BREAK} ").split(" ")
@@ -188,13 +222,24 @@ def unique_text(stream: str, covered: np.ndarray) -> str:
     return "\n\n".join(x for x in (b.strip(" ") for b in kept.split(_BREAK)) if x)
 
 
-def _group(table: pa.Table, min_run: int, min_pages: int, min_share: float) -> pa.Table:
+def _count(table: pa.Table, min_run: int) -> pa.Table:
+    """Runs of a group's distinct streams, with the number of streams that have each."""
+    *_, h, n = _runs(table.column("text").to_pylist(), min_run)
+    host, part = (pa.array([table.column(c)[0].as_py()] * len(h), k) for c, k in (("host", pa.string()), ("part", pa.int64())))
+    return pa.table({"host": host, "part": part, "run": pa.array(h), "n": pa.array(n.astype(np.int64))})
+
+
+_NONE = pa.table({c: pa.array([], pa.string()) for c in ("host", "key", "text")})
+
+
+def _mask(table: pa.Table, runs: pa.Table, min_run: int) -> pa.Table:
+    """host, key and text without boilerplate of each distinct stream of a group."""
     streams = table.column("text").to_pylist()
-    masks = repeated(streams, min_run, min_pages, min_share)
-    ids, urls, wanted = (table.column(c).to_pylist() for c in ("page_id", "url", "wanted"))
-    rows = [(i, u, unique_text(s, m)) for i, u, w, s, m in zip(ids, urls, wanted, streams, masks, strict=True) if w]
-    cols = list(zip(*rows, strict=True)) or [()] * 3
-    return pa.table({"page_id": pa.array(cols[0], pa.int64()), "url": pa.array(cols[1], pa.string()), "text": pa.array(cols[2], pa.string())})
+    tokens, sizes, rank, ranks, h, _ = _runs(streams, min_run)
+    bad = ranks[np.isin(h, runs.column("run").to_numpy())]
+    masks = _masks(tokens, sizes, np.flatnonzero(np.isin(rank, bad)), min_run)
+    text = pa.array([unique_text(s, m) for s, m in zip(streams, masks, strict=True)], pa.string())
+    return pa.table({"host": table.column("host"), "key": table.column("key"), "text": text})
 
 
 def extract(pages: DataFrame, min_run: int = MIN_RUN, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, group_tokens: int = GROUP_TOKENS) -> DataFrame:
@@ -205,9 +250,18 @@ def extract(pages: DataFrame, min_run: int = MIN_RUN, min_pages: int = MIN_PAGES
     """
     scratch = Scratch(pages.sparkSession, "html")
     parsed = scratch.cut(pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_parse, PARSED), "zstd")
-    streams = parsed.where("not done")
-    sizes = scratch.cut(streams.groupBy("host").agg(F.ceil(F.sum("tokens") / group_tokens).cast("long").alias("groups")))
+    streams = parsed.where("not done").withColumn("key", F.sha2("text", 256))
+    distinct = scratch.cut(streams.groupBy("host", "key").agg(F.any_value("text").alias("text"), F.any_value("tokens").alias("tokens"), F.bool_or("wanted").alias("wanted")), "zstd")
+    need = F.greatest(F.lit(float(min_pages)), F.least(F.count("*") * min_share, F.lit(float(ENOUGH_PAGES))))
+    sizes = scratch.cut(distinct.groupBy("host").agg(F.ceil(F.sum("tokens") / group_tokens).cast("long").alias("groups"), need.alias("need")))
     # written above, so a hot host's rows can be split in this join
-    dealt = streams.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("text", "page_id"), F.greatest("groups", F.lit(1))))
-    rest = dealt.select("host", "part", "page_id", "url", "text", "wanted").groupBy("host", "part").applyInArrow(lambda t: _group(t, min_run, min_pages, min_share), "page_id long, url string, text string")
-    return parsed.where("done").select("page_id", "url", "text").unionByName(rest)
+    dealt = distinct.join(sizes.select("host", "groups"), "host").withColumn("part", F.pmod(F.xxhash64("key"), F.greatest("groups", F.lit(1))))
+    dealt = scratch.cut(dealt.select("host", "part", "key", "text", "wanted"), "zstd")
+    counted = scratch.cut(dealt.groupBy("host", "part").applyInArrow(lambda t: _count(t, min_run), "host string, part long, run long, n long"), "zstd")
+    total = scratch.cut(counted.groupBy("host", "run").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pages))
+    bad = scratch.cut(total.join(sizes, "host").where("n >= need").select("host", "run"))
+    bad = counted.join(bad, ["host", "run"]).select("host", "part", "run")
+    wanted = dealt.where("wanted").groupBy("host", "part").cogroup(bad.groupBy("host", "part"))
+    masked = scratch.cut(wanted.applyInArrow(lambda t, r: _mask(t, r, min_run) if len(t) else _NONE, "host string, key string, text string"), "zstd")
+    rest = streams.where("wanted").select("page_id", "url", "host", "key").join(masked, ["host", "key"])
+    return parsed.where("done").select("page_id", "url", "text").unionByName(rest.select("page_id", "url", "text"))
