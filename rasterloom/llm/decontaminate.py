@@ -122,7 +122,7 @@ def _intersect(phrases: Phrases, lists: tuple[np.ndarray, np.ndarray, np.ndarray
     live = np.flatnonzero((rarity.min(1) > 0) & (phrases.lengths > 0)) if len(rarity) else np.empty(0, np.int64)
     order = np.argsort(rarity[live], axis=1, kind="stable")
     load = rarity[live, order[:, 0]] if len(live) else np.empty(0, np.int64)
-    step = np.searchsorted(np.cumsum(load), np.arange(0, load.sum() + CANDIDATES, CANDIDATES)) if len(live) else []
+    step = [*np.searchsorted(np.cumsum(load), np.arange(0, load.sum(), CANDIDATES)), len(live)] if len(live) else []
     exact, near = [], []
     for lo, hi in zip(step[:-1], step[1:], strict=True):
         own, by = live[lo:hi], order[lo:hi]
