@@ -90,6 +90,18 @@ class Scratch:
         remove(self.spark, *(f._scratch_path for f in frames if f is not None and hasattr(f, "_scratch_path")))
 
 
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], n: str = "c", least: int = 1000, share: int = 2000) -> DataFrame:
+    """rows with the columns of counted, which has one row a key and in n how many of rows have it.
+
+    Keys with more than a share-th of all these rows (and more than `least`) are hot: there are fewer than `share` of them, whatever
+    the input, so they are broadcast and their rows stay where they are. All other rows meet their key in an exchange.
+    """
+    limit = max(least, (counted.agg(F.sum(n)).first()[0] or 0) // share)
+    hot, cold = F.broadcast(counted.where(F.col(n) > limit)), counted.where(F.col(n) <= limit)
+    rest = rows.join(F.broadcast(counted.where(F.col(n) > limit).select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(cold, keys))
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, all else as it is."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -9,8 +9,10 @@
    Burrows-Wheeler transform, on which intervals are expanded breadth-first: backward extension by a character derives the
    interval of each longer string, whose right bound then has a common prefix as long as the step's number. Values come in
    increasing order, and the expansion stops at MIN_BYTES: bounds without a value join suffixes that share MIN_BYTES or more.
-4. An anchor with more than DENSE different regions would make a block of unbounded size. Its windows are hashed as rows instead
-   and counted with map-side combining, which gives the same result.
+4. An anchor with more than DENSE different regions would make a block of unbounded size. Its regions are cut at fixed distances
+   from the anchor into narrower ones, whose key is the hash of the bytes that all their windows have in common. Equal windows
+   are in narrow regions of one key again, so steps 2 to 4 go on with these. At a width of one window all regions of a key are
+   copies, so the cutting ends.
 """
 
 from __future__ import annotations
@@ -23,13 +25,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, rows_of, slices
+from .common import Scratch, join_counted, rows_of, slices
 
 MIN_BYTES, GRAM = 400, 128
 #: Different regions of an anchor that are compared in one block at most; a block's bytes; windows that are hashed at once.
 DENSE, BLOCK_BYTES, CHUNK = 800, 600_000, 1 << 18
-#: Bytes of regions whose windows make one Arrow batch.
-WINDOW_BYTES = 100_000
+#: Windows in the narrower regions of a dense anchor, level by level.
+WIDTHS = (64, 16, 4, 1)
+#: Bytes of regions that are cut into one Arrow batch.
+CUT_BYTES = 1_000_000
 _PLACE = 19
 _SEED = np.random.default_rng(3)
 _BYTE = _SEED.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -57,8 +61,8 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return h
 
 
-def regions(data: bytes, size: int = MIN_BYTES, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each region: its first window's start, its number of windows, its anchor's hash."""
+def regions(data: bytes, size: int = MIN_BYTES, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each region: its first window's start, its number of windows, its anchor's hash, its anchor's place."""
     out = []
     whole = np.frombuffer(data, np.uint8)
     for at in range(0, len(data) - size + 1, CHUNK):
@@ -73,32 +77,32 @@ def regions(data: bytes, size: int = MIN_BYTES, gram: int = GRAM) -> tuple[np.nd
             m = np.minimum(m[: len(m) - (left - width)], m[left - width :])
         place = (m & low).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        out.append((first + at, np.diff(np.concatenate([first, [len(place)]])), h[place[first]]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
+        out.append((first + at, np.diff(np.concatenate([first, [len(place)]])), h[place[first]], place[first] + at))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 4
 
 
 def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-REGIONS = "doc long, tag int, start long, n long, key long, h1 long, h2 long"
+REGIONS = "doc long, tag int, start long, n long, place long, key long, h1 long, h2 long"
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], size: int, gram: int) -> Iterator[pa.RecordBatch]:
     for b in rows_of(batches, "text"):
-        cols: list[list] = [[] for _ in range(7)]
+        cols: list[list] = [[] for _ in range(8)]
         for doc, text, tag in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             data = _bytes(text)
             if len(data) < size:
                 continue
-            start, n, key = regions(data, size, gram)
+            start, n, key, place = regions(data, size, gram)
             digest = b"".join(xxhash.xxh3_128_digest(data[s : s + k + size - 1]) for s, k in zip(start.tolist(), n.tolist(), strict=True))
             h = np.frombuffer(digest, "<i8").reshape(-1, 2)
-            for c, x in zip(cols, ([doc] * len(start), [tag] * len(start), start, n, key.view(np.int64) if len(key) else key, h[:, 0], h[:, 1]), strict=True):
+            for c, x in zip(cols, ([doc] * len(start), [tag] * len(start), start, n, place, key.view(np.int64) if len(key) else key, h[:, 0], h[:, 1]), strict=True):
                 c.append(x if isinstance(x, np.ndarray) else pa.array(x, pa.int64()))
         if cols[0]:
             flat = [pa.concat_arrays(c) if isinstance(c[0], pa.Array) else pa.array(np.concatenate(c)) for c in cols]
-            yield pa.RecordBatch.from_arrays([flat[0], flat[1].cast(pa.int32()), *flat[2:]], ["doc", "tag", "start", "n", "key", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([flat[0], flat[1].cast(pa.int32()), *flat[2:]], ["doc", "tag", "start", "n", "place", "key", "h1", "h2"])
 
 
 def _ranges(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -201,29 +205,44 @@ def _compare(table: pa.Table, size: int) -> pa.Table:
     return _spans(*(table.column(c).to_pylist() for c in ("doc", "tag", "start")), repeated_starts(texts, size), size)
 
 
+PIECES = "key long, doc long, tag int, start long, n long, place long, many boolean, data binary"
+_PIECES = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("tag", pa.int32()), ("start", pa.int64()), ("n", pa.int64()), ("place", pa.int64()), ("many", pa.bool_()), ("data", pa.binary())])
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """The bytes of the wanted regions of each text."""
     for b in rows_of(batches, "text"):
         rows = []
         for text, doc, tag, wanted in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
             data = _bytes(text)
-            rows += [(w["key"], w["dense"], doc, tag, w["start"], data[w["start"] : w["start"] + w["n"] + size - 1]) for w in wanted]
-        cols = list(zip(*rows, strict=True)) or [()] * 6
-        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["key", "dense", "doc", "tag", "start", "data"])
+            rows += [(w["key"], doc, tag, w["start"], w["n"], w["place"], w["many"], data[w["start"] : w["start"] + w["n"] + size - 1]) for w in wanted]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_PIECES)], schema=_PIECES)
+
 
+NARROW = "key long, doc long, tag int, start long, n long, place long, data binary, h1 long, h2 long"
+_NARROW = pa.schema([*(f for f in _PIECES if f.name != "many"), ("h1", pa.int64()), ("h2", pa.int64())])
 
-def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """A row for each window of a region: two hashes of it."""
-    names = ["key", "doc", "tag", "start", "h1", "h2"]
+
+def _narrow(batches: Iterator[pa.RecordBatch], size: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Regions cut where a window's distance to the anchor is a multiple of width. The key is the hash of the old key, the distance
+    and the bytes that all windows of such a cut have in common."""
     for whole in batches:
-        for b in slices(whole, "data", WINDOW_BYTES):
-            data = [bytes(x) for x in b.column(4).to_pylist()]
-            n = np.array([len(x) - size + 1 for x in data])
-            h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x[k : k + size]) for x, m in zip(data, n.tolist(), strict=True) for k in range(m)), "<i8").reshape(-1, 2)
-            own = b.take(pa.array(np.repeat(np.arange(len(b)), n)))
-            starts = _ranges(np.array(b.column(3)), n)
-            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), pa.array(starts), pa.array(h[:, 0]), pa.array(h[:, 1])], names)
+        for b in slices(whole, "data", CUT_BYTES):
+            rows = []
+            for key, doc, tag, start, n, place, data in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+                at = start
+                while at < start + n:
+                    step = (place - at) // width
+                    last = place - step * width  # the cut's windows start width places up to here, fewer at a region's ends
+                    stop = min(start + n, last + 1)
+                    own = data[at - start : stop - 1 - start + size]
+                    core = own[last - at : max(last - at, last - width + 1 + size - at)]
+                    rows.append((key, step, doc, tag, at, stop - at, place, own, core))
+                    at = stop
+            digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(r[7]) for r in rows), "<i8").reshape(-1, 2)
+            keys = [xxhash.xxh64_intdigest(r[8], (r[0] * 31 + r[1]) & 0xFFFFFFFFFFFFFFFF) for r in rows]
+            cols = [pa.array(np.array(keys, np.uint64).view(np.int64)), *(pa.array([r[k] for r in rows], f.type) for k, f in zip(range(2, 8), list(_NARROW)[1:7], strict=True))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(digest[:, 0]), pa.array(digest[:, 1])], schema=_NARROW)
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,31 +267,46 @@ def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+def _level(rows: DataFrame, scratch: Scratch, size: int, dense: int) -> tuple[DataFrame, DataFrame]:
+    """Of regions (REGIONS): the spans of those that are equal as a whole, and one of each kind of the keys with several (many: over dense)."""
+    kinds = scratch.cut(rows.groupBy("key", "h1", "h2", "n").agg(F.count("*").alias("c"), F.min(F.struct("doc", "tag", "start", "place")).alias("r")), "zstd")
+    copies = join_counted(rows, kinds.where("c > 1").select("key", "h1", "h2", "n", "c"), ["key", "h1", "h2", "n"])
+    whole = copies.select("doc", "tag", "start", (F.col("start") + F.col("n") + (size - 1)).alias("stop"))
+    several = scratch.cut(kinds.groupBy("key").agg(F.count("*").alias("d")).where("d > 1"))
+    wanted = join_counted(kinds, several, ["key"], "d").select("key", (F.col("d") > dense).alias("many"), "r.doc", "r.tag", "r.start", "r.place", "n")
+    return whole, scratch.cut(wanted, "zstd")
+
+
+def _compared(pieces: DataFrame, size: int, block_bytes: int) -> DataFrame:
+    """Spans that repeat in pieces of one key."""
+    total = pieces.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    blocks = max(1, -(-total // block_bytes))
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks))).select("block", "doc", "tag", "start", "data")
+    return dealt.groupBy("block").applyInArrow(lambda t: _compare(t, size), SPANS)
+
+
 def repeated_spans(texts: DataFrame, scratch: Scratch, size: int = MIN_BYTES, gram: int = GRAM, dense: int = DENSE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Spans (doc, tag, start, stop; they may overlap) that repeat, of texts (doc, text, tag)."""
     all_regions = scratch.cut(texts.select("doc", "text", "tag").mapInArrow(lambda it: _anchors(it, size, gram), REGIONS), "zstd")
-    keys = scratch.cut(all_regions.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
-    own = scratch.cut(all_regions.join(keys, "key", "left_semi"), "zstd")
+    keys = scratch.cut(all_regions.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
+    own = scratch.cut(join_counted(all_regions, keys, ["key"]).drop("c"), "zstd")
     scratch.drop(all_regions, keys)
-    kinds = scratch.cut(own.groupBy("key", "h1", "h2", "n").agg(F.count("*").alias("c"), F.min(F.struct("doc", "tag", "start")).alias("r")), "zstd")
-    copies = own.join(kinds.where("c > 1").select("key", "h1", "h2", "n"), ["key", "h1", "h2", "n"], "left_semi")
-    whole = copies.select("doc", "tag", "start", (F.col("start") + F.col("n") + (size - 1)).alias("stop"))
-    several = scratch.cut(kinds.groupBy("key").agg(F.count("*").alias("d")).where("d > 1"))
-    wanted = kinds.join(several, "key").select("key", (F.col("d") <= dense).alias("dense"), "r.doc", "r.tag", "r.start", "n")
-    lists = wanted.groupBy(F.col("doc").alias("d"), F.col("tag").alias("t")).agg(F.collect_list(F.struct("key", "dense", "start", "n")).alias("wanted"))
+    out, wanted = _level(own, scratch, size, dense)
+    lists = wanted.groupBy(F.col("doc").alias("d"), F.col("tag").alias("t")).agg(F.collect_list(F.struct("key", "many", "start", "n", "place")).alias("wanted"))
     # rows that are equal in doc and text hold the same regions: any one of them will do, and two would count its windows twice
     found = texts.join(lists, _same(texts["doc"], lists["d"]) & (texts["tag"] == lists["t"])).select("text", "doc", "tag", "wanted")
-    pieces = found.mapInArrow(lambda it: _pieces(it, size), "key long, dense boolean, doc long, tag int, start long, data binary")
+    pieces = found.mapInArrow(lambda it: _pieces(it, size), PIECES)
     pieces = scratch.cut(pieces.dropDuplicates(["key", "doc", "tag", "start"]), "zstd")
-    total = pieces.where("dense").agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    dealt = pieces.where("dense").withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks))).select("block", "doc", "tag", "start", "data")
-    compared = dealt.groupBy("block").applyInArrow(lambda t: _compare(t, size), SPANS)
-    rows = pieces.where("not dense").select("key", "doc", "tag", "start", "data").mapInArrow(lambda it: _windows(it, size), "key long, doc long, tag int, start long, h1 long, h2 long")
-    rows = scratch.cut(rows, "zstd")
-    twice = scratch.cut(rows.groupBy("key", "h1", "h2").agg(F.count("*").alias("c")).where("c > 1").drop("c"))
-    hot = rows.join(twice, ["key", "h1", "h2"], "left_semi").select("doc", "tag", "start", (F.col("start") + size).alias("stop"))
-    return whole.unionByName(compared).unionByName(hot)
+    for width in (*WIDTHS, 0):
+        out = out.unionByName(_compared(pieces.where("not many"), size, block_bytes))
+        rest = pieces.where("many").drop("many")
+        if not width or rest.isEmpty():
+            return out
+        rows = scratch.cut(rest.mapInArrow(lambda it, w=width: _narrow(it, size, w), NARROW), "zstd")
+        whole, wanted = _level(rows.drop("data"), scratch, size, dense)
+        out = out.unionByName(whole)
+        pieces = scratch.cut(rows.drop("h1", "h2").join(wanted.select("key", "doc", "tag", "start", "many"), ["key", "doc", "tag", "start"]), "zstd")
+    return out
 
 
 def suffix_dedup(docs: DataFrame, size: int = MIN_BYTES, gram: int = GRAM, dense: int = DENSE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
