@@ -12,6 +12,8 @@ from . import decontaminate, html, linededup, lm, packing, quality, rules, secre
 from .common import digest_of, table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
+#: Places that a word of a proximity match may be off.
+NEAR = 1
 
 
 def tokenizer_path(name: str = WORD_TOKENIZER) -> str:
@@ -21,9 +23,9 @@ def tokenizer_path(name: str = WORD_TOKENIZER) -> str:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark"), slop=NEAR)
     names = F.array_sort(F.transform("item_ids", lambda x: x.cast("string")))
-    return found.select("doc_id", "n_words", F.col("n_hit").cast("long").alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), digest_of(names).alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", F.col("n_hit").cast("long").alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), digest_of(names).alias("items_sha256"), "contaminated", F.size("near_ids").cast("long").alias("n_near"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,10 +17,17 @@ sizes as (select distinct len(g) n from bwin),
 dwin as (select doc_id, n, i, list_slice(w, i, i + n - 1) g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) i from dw, sizes where len(w) >= n)),
 hits as (select d.doc_id, d.i, d.n, b.item_id from dwin d join bwin b on d.g = b.g),
 hit_words as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(i, i + n)) p from hits) group by doc_id),
+docw as (select doc_id, unnest(w) word, generate_subscripts(w, 1) p from dw),
+freq as (select word, count(*) c from docw group by word),
+rare as (select g, arg_min({{'word': word, 'j': j}}, c) r from (select g, unnest(g) word, generate_subscripts(g, 1) j from (select distinct g from bwin)) left join freq using (word) group by g having count(*) = count(c)),
+cand as (select distinct doc_id, g, p - r.j + d s from rare join docw on docw.word = r.word, (select unnest([-1, 0, 1]) d)),
+near as (select distinct doc_id, g from cand join dw using (doc_id) where s >= 1 and s + len(g) - 1 <= len(w)
+ and list_bool_and(list_transform(range(1, len(g) + 1), lambda j: g[j] = w[s + j - 1] or (s + j > 2 and coalesce(g[j] = w[s + j - 2], false)) or coalesce(g[j] = w[s + j], false)))),
+nears as (select doc_id, count(distinct item_id) n_near from near join bwin using (g) group by doc_id),
 its as (select doc_id, count(*) n_items, string_agg(s, ',' order by s) ids from (select distinct doc_id, item_id::varchar s from hits) group by doc_id)
 select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(ids, '')) items_sha256,
-coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
-from dw left join hit_words using (doc_id) left join its using (doc_id)
+coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated, coalesce(n_near, 0)::bigint n_near
+from dw left join hit_words using (doc_id) left join its using (doc_id) left join nears using (doc_id)
 """
 
 OP4 = f"""

@@ -64,8 +64,8 @@ def test_decontaminate_in_blocks(docs, bench):
 def test_proximity(spark):
     d = spark.createDataFrame([(1, "a b x c d"), (2, "a b c d"), (3, "d c q q b a")], SCHEMA)
     b = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
-    got = by_id(decontaminate.contamination(d, b, slop=1), "n_hit", "n_near")
-    assert got[1] == [(0, 1)] and got[2] == [(4, 1)] and got[3] == [(0, 0)]
+    got = by_id(decontaminate.contamination(d, b, slop=1), "n_hit", "near_ids")
+    assert got[1] == [(0, [1])] and got[2] == [(4, [1])] and got[3] == [(0, [])]
 
 
 def test_simhash(docs, empty):
