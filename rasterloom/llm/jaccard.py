@@ -1,10 +1,14 @@
-"""Near copies by the Jaccard similarity of their word shingles, found by MinHash and confirmed on the texts.
+"""Near copies for the pipeline: SimHash links, and all pairs of a word-shingle similarity of 0.8 or more.
 
-A text is the set of its 5-word shingles. Candidates share one of BANDS buckets, each the hash of PER_BAND minima; a pair with
-similarity 0.8 shares none with probability (1 - 0.8^5)^25, about 1 in 20,000. Each candidate pair is confirmed by the exact
-similarity of the two sets. Pairs that are in one component already aren't compared: first every text of a bucket is compared with
-the bucket's smallest, then, in buckets that still hold several components, all pairs of different ones. So a large group of near
-copies costs about as many comparisons as it has members, and no pair of a bucket is left out.
+A text is the set of its 5-word shingles. Texts of one set are one node; so are, by links, texts whose fingerprints SimHash links.
+Further candidates share one of BANDS MinHash buckets, each the hash of PER_BAND minima; a pair with similarity 0.8 shares none
+with probability (1 - 0.8^5)^25, about 1 in 20,000. Candidates are confirmed by the exact similarity of the two sets.
+
+Pairs that are in one component already aren't compared. First every text of a bucket is compared with the bucket's smallest, so a
+large group of near copies costs about as many comparisons as it has members. The texts of buckets that then still hold several
+components (they share a passage, say, but less than 0.8) are joined by prefix filtering, which is exact: of two similar sets, in
+one order of all shingles with rare ones first, the smaller one's first n - ceil(2 * 0.8 / 1.8 * n) + 1 and the larger one's first
+n - ceil(0.8 * n) + 1 have a shingle in common. What many texts share comes last in that order, so a common passage makes no pairs.
 """
 
 from __future__ import annotations
@@ -18,8 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, rows_of
+from .common import Scratch, join_counted, rows_of
 from .components import components
+from .simhash import fingerprint, links
 
 SHINGLE, SIMILARITY, BANDS, PER_BAND, SEED = 5, 0.8, 25, 5, 42
 #: Shingles whose minima are taken at once.
@@ -60,18 +65,27 @@ def buckets(own: np.ndarray) -> np.ndarray:
     return out
 
 
+SIGNED = "doc_id long, tag long, fp long, key binary, n long, buckets array<long>"
+
+
 def _signatures(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for b in rows_of(batches, "text"):
-        ids, keys, sizes, found = [], [], [], []
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        fps, keys, sizes, found = [], [], [], []
+        for t in b.column(2).to_pylist():
             own = shingles(t, shingle)
-            if i is not None and len(own):
-                ids.append(i)
-                keys.append(xxhash.xxh3_128_digest(own.tobytes()))
-                sizes.append(len(own))
-                found.append(buckets(own).view(np.int64))
-        lists = pa.array([x.tolist() for x in found], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), lists], ["doc_id", "key", "n", "buckets"])
+            fps.append(fingerprint(t))
+            keys.append(xxhash.xxh3_128_digest(own.tobytes()))
+            sizes.append(len(own))
+            found.append(buckets(own).view(np.int64).tolist() if len(own) else [])
+        cols = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["doc_id", "tag", "fp", "key", "n", "buckets"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for b in rows_of(batches, "text"):
+        own = [shingles(t, shingle).view(np.int64) for t in b.column(2).to_pylist()]
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]), pa.int32()), pa.array(np.concatenate(own) if own else np.empty(0, np.int64)))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["node", "comp", "tokens"])
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -87,62 +101,108 @@ def _confirmed(batches: Iterator[pa.RecordBatch], shingle: int, least: float) ->
         yield pa.RecordBatch.from_arrays([a, c], ["a", "b"]).filter(ok)
 
 
-def near_copies(docs: DataFrame, known: DataFrame, scratch: Scratch, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
-    """(node, root) of each component of known (doc_id, component_id) that near copies join to one with a smaller number, the root.
-
-    known has a row for each doc_id; texts with the same set of shingles must be near copies there or become so here.
+class _Joining:
+    """Components of nodes, joined by confirmed pairs."""
+
+    def __init__(self, texts: DataFrame, sets: DataFrame, edges: DataFrame, scratch: Scratch, shingle: int, least: float):
+        self.texts, self.scratch, self.shingle, self.least = texts, scratch, shingle, least
+        self.sets = sets.select("node", F.col("doc_id").alias("__d"), F.col("tag").alias("__t"))
+        self.edges = edges
+
+    def roots(self) -> DataFrame:
+        return components(self.edges, self.scratch)
+
+    def renamed(self, rows: DataFrame) -> DataFrame:
+        """rows whose comp is that of now."""
+        own = self.scratch.cut(self.roots().select(F.col("node").alias("comp"), "root"))
+        cols = [F.coalesce("root", "comp").alias("comp") if c == "comp" else F.col(c) for c in rows.columns]
+        return self.scratch.cut(rows.join(own, "comp", "left").select(*cols))
+
+    def texts_of(self, nodes: DataFrame) -> DataFrame:
+        """nodes (node and more) with the text of each."""
+        wanted = self.scratch.cut(nodes.join(self.sets, "node"))
+        own = self.texts.join(wanted, (F.col("doc_id") == F.col("__d")) & (F.col("tag") == F.col("__t")))
+        return own.select(*nodes.columns, "text").dropDuplicates(["node"])
+
+    def confirm(self, pairs: DataFrame) -> None:
+        """Joins the components cx and cy of the pairs (x, y, cx, cy) that are near copies."""
+        pairs = self.scratch.cut(pairs.distinct())
+        own = self.scratch.cut(self.texts_of(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()), "zstd")
+        sides = (own.select(F.col("node").alias(n), F.col("text").alias(t)) for n, t in (("x", "s"), ("y", "t")))
+        for side, key in zip(sides, ("x", "y"), strict=True):
+            pairs = pairs.join(side, key)
+        shingle, least = self.shingle, self.least
+        found = pairs.select(F.col("cx").alias("a"), F.col("cy").alias("b"), "s", "t").mapInArrow(lambda it: _confirmed(it, shingle, least), "a long, b long")
+        self.edges = self.scratch.cut(self.edges.unionByName(found.distinct()))
+
+    def near(self, a: str, b: str) -> str:
+        return f"least({a}, {b}) >= {self.least} * greatest({a}, {b}) - 1e-6"  # sets of such sizes can be that similar
+
+    def mixed(self, rows: DataFrame, by: str) -> DataFrame:
+        """The groups with several components: their smallest set as hub, and their rows' number."""
+        hub = F.min(F.struct("n", "node", "comp")).alias("hub")
+        return self.scratch.cut(rows.groupBy(by).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), hub).where("lo <> hi").select(by, "hub", "c"))
+
+    def by_hubs(self, rows: DataFrame, by: str) -> DataFrame:
+        """Compares all rows (node, n, comp, by and more) of a group with its hub; the rows of groups that keep several components."""
+        now = self.scratch.cut(join_counted(rows, self.mixed(rows, by), [by]).drop("c"))
+        pairs = now.where(f"comp <> hub.comp and {self.near('n', 'hub.n')}")
+        self.confirm(pairs.select(F.col("hub.node").alias("x"), F.col("node").alias("y"), F.col("hub.comp").alias("cx"), F.col("comp").alias("cy")))
+        now = self.renamed(now.drop("hub"))
+        return self.scratch.cut(join_counted(now, self.mixed(now, by).select(by, "c"), [by]).drop("c"))
+
+    def by_prefixes(self, nodes: DataFrame) -> None:
+        """Compares all of nodes (node, n, comp) that can be near copies."""
+        kind = self.texts_of(nodes.select("node", "comp")).select("node", "comp", "text")
+        shingle, t = self.shingle, self.least
+        tokens = self.scratch.cut(kind.mapInArrow(lambda it: _sets(it, shingle), "node long, comp long, tokens array<long>"), "zstd")
+        rows = tokens.select("node", "comp", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("token"))
+        common = self.scratch.cut(rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "zstd")
+        # shingles of one text alone come first: they are as many as the text has besides the common ones
+        own = join_counted(rows, common, ["token"]).groupBy("node", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("p"))
+        probe = F.expr(f"n - ceil({t} * n - 1e-6) + 1")
+        placed = own.select("node", "comp", "n", F.posexplode("p").alias("k", "p"), (F.col("n") - F.size("p")).alias("alone")).select("node", "comp", "n", "p.token", (F.col("alone") + F.col("k")).alias("at"))
+        placed = self.by_hubs(self.scratch.cut(placed.where(F.col("at") < probe), "zstd"), "token")
+        x, y = (placed.select("token", *(F.col(c).alias(f"{p}{c}") for c in ("node", "n", "comp", "at"))) for p in "xy")
+        x = x.where(f"xat < xn - ceil({2 * t / (1 + t)} * xn - 1e-6) + 1")
+        overlap = f"least(xn - xat, yn - yat) >= {t / (1 + t)} * (xn + yn) - 1e-6"  # even if all from here on agrees
+        pairs = x.join(y, "token").where(f"(xn < yn or xn = yn and xnode < ynode) and xcomp <> ycomp and {self.near('xn', 'yn')} and {overlap}")
+        self.confirm(pairs.select(F.col("xnode").alias("x"), F.col("ynode").alias("y"), F.col("xcomp").alias("cx"), F.col("ycomp").alias("cy")))
+
+
+def near_groups(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """(doc_id, tag, root) of each row of docs with a doc_id; rows of one root are near copies, by links. tag: xxhash64 of the text."""
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tag"), "text")
+    signed = texts.mapInArrow(lambda it: _signatures(it, shingle), SIGNED).withColumn("row", F.monotonically_increasing_id())
+    signed = scratch.cut(signed, "zstd")  # written, so a row keeps its number
+    keyed = scratch.cut(signed.groupBy("key").agg(F.min("row").alias("node"), F.count("*").alias("c")))
+    sets = signed.select(F.col("row").alias("node"), "doc_id", "tag", "n", "buckets").join(keyed.select("node"), "node", "left_semi")
+    sets = scratch.cut(sets, "zstd")
+    named = scratch.cut(join_counted(signed.select("doc_id", "tag", "fp", "key"), keyed, ["key"]).select("doc_id", "tag", "fp", "node"), "zstd")
+    pairs = scratch.cut(named.select("fp", "node").distinct())
+    hubs = scratch.cut(pairs.groupBy("fp").agg(F.min("node").alias("hub"), F.count("*").alias("c")))
+    equal = join_counted(pairs, hubs, ["fp"]).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    edges = links(hubs.select("fp", F.col("hub").alias("node")), scratch).unionByName(equal)
+    joining = _Joining(texts, sets, scratch.cut(edges.distinct()), scratch, shingle, least)
+    known = joining.renamed(sets.select("node", "n", F.col("node").alias("comp")))
+    members = known.join(sets.select("node", "buckets"), "node").select("node", "n", "comp", F.explode("buckets").alias("bucket"))
+    rest = joining.by_hubs(scratch.cut(members, "zstd"), "bucket")
+    joining.by_prefixes(scratch.cut(rest.select("node", "n", "comp").distinct()))
+    roots = scratch.cut(keyed.select("node", "c").join(joining.roots(), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    return scratch.cut(join_counted(named.select("doc_id", "tag", "node"), roots, ["node"]).select("doc_id", "tag", "root"), "zstd")
+
+
+def near_dedup(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """docs with one document of each group of near copies, in the columns of docs, whatever their names: that with the smallest
+    doc_id, and under one id that with the smallest hash of its text.
+
+    A row is known by its doc_id and text: rows that share an id are judged each by its own text, equal rows stay or go together.
+    Rows with a null doc_id stay and link nothing. Null and empty texts, and texts without words, are copies of each other; a text
+    of fewer than 5 words is one shingle; texts of any length are read whole. An empty table gives an empty table.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    signed = scratch.cut(texts.mapInArrow(lambda it: _signatures(it, shingle), "doc_id long, key binary, n long, buckets array<long>"))
-    component = scratch.cut(known.groupBy("doc_id").agg(F.min("component_id").alias("comp")))
-    named = signed.join(component, "doc_id")
-    # texts of one set are one node; their components are joined
-    sets = scratch.cut(named.groupBy("key").agg(F.min("doc_id").alias("node"), F.any_value("n").alias("n"), F.any_value("buckets").alias("buckets"), F.min("comp").alias("comp")))
-    equal = named.select("key", F.col("comp").alias("a")).distinct().join(sets.select("key", F.col("comp").alias("b")), "key").where("a <> b").select("a", "b")
-    edges = scratch.cut(equal.distinct())
-    members = sets.select("node", "n", "comp", F.explode("buckets").alias("bucket"))
-
-    def mixed(rows: DataFrame) -> DataFrame:
-        """The buckets with several components, and their smallest node."""
-        sizes = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("node", "n", "comp")).alias("hub"))
-        return scratch.cut(sizes.where("lo <> hi").select("bucket", "hub"))
-
-    def roots() -> DataFrame:
-        return components(edges, scratch)
-
-    def renamed(rows: DataFrame, to: DataFrame) -> DataFrame:
-        own = to.select(F.col("node").alias("comp"), "root")
-        return rows.join(own, "comp", "left").select("node", "n", F.coalesce("root", "comp").alias("comp"), "bucket")
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        """Components (a, b) of the pairs (x, y, cx, cy) that are near copies."""
-        needed = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-        own = scratch.cut(texts.join(scratch.cut(needed), "doc_id", "left_semi").distinct())
-        both = pairs.join(own.select(F.col("doc_id").alias("x"), F.col("text").alias("s")), "x").join(own.select(F.col("doc_id").alias("y"), F.col("text").alias("t")), "y")
-        return scratch.cut(both.select(F.col("cx").alias("a"), F.col("cy").alias("b"), "s", "t").mapInArrow(lambda it: _confirmed(it, shingle, least), "a long, b long").distinct())
-
-    def near(a: str, b: str) -> str:
-        return f"least({a}, {b}) >= {least} * greatest({a}, {b}) - 1e-6"  # sets of such sizes can be that similar
-
-    hubs = mixed(members)
-    now = scratch.cut(members.join(hubs, "bucket"))
-    pairs = now.where(f"comp <> hub.comp and {near('n', 'hub.n')}").select(F.col("hub.node").alias("x"), F.col("node").alias("y"), F.col("hub.comp").alias("cx"), F.col("comp").alias("cy"))
-    first = scratch.cut(pairs.distinct())
-    edges = scratch.cut(edges.unionByName(confirm(first)))
-    now = scratch.cut(renamed(now.drop("hub"), roots()))
-    now = scratch.cut(now.join(mixed(now).select("bucket"), "bucket", "left_semi"))
-    x, y = (now.select("bucket", *(F.col(c).alias(f"{p}{c}") for c in ("node", "n", "comp"))) for p in ("x", "y"))
-    pairs = x.join(y, "bucket").where(f"xnode < ynode and xcomp <> ycomp and {near('xn', 'yn')}")
-    pairs = pairs.select(F.col("xnode").alias("x"), F.col("ynode").alias("y"), F.col("xcomp").alias("cx"), F.col("ycomp").alias("cy")).distinct()
-    second = scratch.cut(pairs.join(first.select("x", "y"), ["x", "y"], "left_anti"))
-    edges = scratch.cut(edges.unionByName(confirm(second)))
-    return roots()
-
-
-def near_dedup(docs: DataFrame, known: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
-    """docs with one document of each component of known, joined by near copies: that with the smallest doc_id. Rows with a null doc_id stay."""
     scratch = Scratch(docs.sparkSession, "jaccard")
-    known = scratch.cut(known.where("doc_id is not null").select("doc_id", "component_id"))
-    more = near_copies(docs, known, scratch, shingle, least)
-    gone = scratch.cut(known.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).unionByName(more.select(F.col("node").alias("__gone"))).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    groups = near_groups(docs, scratch, shingle, least)
+    keepers = scratch.cut(groups.groupBy("root").agg(F.min(F.struct("doc_id", "tag")).alias("keeper"), F.count("*").alias("c")))
+    gone = join_counted(groups, keepers, ["root"]).where("doc_id <> keeper.doc_id or tag <> keeper.tag")
+    gone = scratch.cut(gone.select(F.col("doc_id").alias("__gone"), F.col("tag").alias("__tag")).distinct())
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone["__gone"]) & (F.xxhash64(docs["text"]) == gone["__tag"]), "left_anti")

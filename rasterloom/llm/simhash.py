@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, rows_of
+from .common import Scratch, join_counted, rows_of
 from .components import components
 
 RADIUS, BITS, SHINGLE, SEED = 2, 64, 3, 42
@@ -50,13 +50,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for b in rows_of(batches, "text"):
-        fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        fp = np.array([fingerprint(t, shingle) for t in b.column(2).to_pylist()], np.uint64)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "tag", "fp"])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of each row."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _fingerprints(it, shingle), "doc_id long, fp long")
+    """doc_id, tag (xxhash64 of the text) and fp (the fingerprint as a signed long) of each row."""
+    own = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tag"), "text")
+    return own.mapInArrow(lambda it: _fingerprints(it, shingle), "doc_id long, tag long, fp long")
 
 
 def masks(bits: list[int], radius: int = RADIUS) -> list[int]:
@@ -149,24 +150,43 @@ def links(distinct: DataFrame, scratch: Scratch, dense: int = DENSE, depth: int
     return out
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, dense: int = DENSE) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable over links, itself included) of each row of docs.
-
-    Null and empty texts have fingerprint zero and are linked like any other. Rows with a null doc_id link nothing and get a
-    null component_id. Repeated rows each get theirs. An empty table gives an empty table. Only doc_id and text are read.
-    """
+def _grouped(docs: DataFrame, shingle: int, dense: int) -> DataFrame:
+    """doc_id, tag (xxhash64 of the text), fp, root (a fingerprint that stands for its component) and component_id of each row."""
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.cut(fingerprints(docs, shingle))
-    distinct = scratch.cut(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    edges = scratch.cut(links(distinct, scratch, dense).distinct())
-    roots = components(edges, scratch)
-    named = scratch.cut(distinct.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id")))
+    distinct = scratch.cut(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first")))
+    edges = scratch.cut(links(distinct.select("fp", F.col("fp").alias("node")), scratch, dense).distinct())
+    rooted = distinct.join(components(edges, scratch), F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = scratch.cut(rooted)
+    named = scratch.cut(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("c")))
+    named = scratch.cut(join_counted(rooted, named, ["root"]).select("fp", "root", "component_id"))
     # written above, so both sides of this join have an exchange and a hot fingerprint's rows can be split
     joined = fps.join(named, "fp", "left")
-    return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    known = F.col("doc_id").isNotNull()
+    return joined.select("doc_id", "tag", "fp", F.when(known, F.col("root")).alias("root"), F.when(known, F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, dense: int = DENSE) -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id reachable over links, itself included) of each row of docs.
+
+    Null and empty texts have fingerprint zero and are linked like any other; a text of fewer words than a shingle is one
+    shingle; texts of any length are read whole. Rows with a null doc_id link nothing and get a null component_id. Repeated rows
+    each get theirs; rows that share a doc_id but not a text are linked each by its own text. An empty table gives an empty
+    table. Only doc_id and text are read, so further columns may have any name.
+    """
+    return _grouped(docs, shingle, dense).select("doc_id", "fp", "component_id")
+
 
+def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE, dense: int = DENSE) -> DataFrame:
+    """docs with one document of each component, in the columns of docs, whatever their names: that with the smallest doc_id, and
+    under one id that with the smallest hash of its text.
 
-def simhash_dedup(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: that with the smallest doc_id. Rows with a null doc_id stay."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    A row is known by its doc_id and text: of rows that share an id each goes by its own text, and equal rows stay or go
+    together. Rows with a null doc_id stay. All else is as near_duplicates() says.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash-dedup")
+    rows = scratch.cut(_grouped(docs, shingle, dense).where("doc_id is not null").select("doc_id", "tag", "root"))
+    keepers = scratch.cut(rows.groupBy("root").agg(F.min(F.struct("doc_id", "tag")).alias("keeper"), F.count("*").alias("c")))
+    gone = join_counted(rows, keepers, ["root"]).where("doc_id <> keeper.doc_id or tag <> keeper.tag")
+    gone = scratch.cut(gone.select(F.col("doc_id").alias("__gone"), F.col("tag").alias("__tag")).distinct())
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone["__gone"]) & (F.xxhash64(docs["text"]) == gone["__tag"]), "left_anti")

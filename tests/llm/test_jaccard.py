@@ -53,3 +53,33 @@ def test_similarity():
     a, b = "a b c d e f g h", "A b c d e f g x"
     assert jaccard.similarity(jaccard.shingles(a), jaccard.shingles(b)) == plain_similarity(plain_shingles(a), plain_shingles(b)) == 0.6
     assert len(jaccard.shingles("a b")) == 1 and len(jaccard.shingles(None)) == 0
+
+
+def test_a_common_passage_makes_no_pairs_and_hides_none(spark):
+    """Many texts share a passage, less than 0.8 of each; some of them have near copies, of other lengths too."""
+    rng = np.random.default_rng(11)
+    passage = " ".join(f"p{k}" for k in range(70))
+    texts = {}
+    for k in range(60):
+        own = [f"w{x}" for x in rng.integers(0, 9000, 50)]
+        texts[10 * k] = f"{passage} {' '.join(own)}"
+        if k % 4 == 0:
+            texts[10 * k + 1] = f"{passage} {' '.join(own[:-5])} x{k}"
+            texts[10 * k + 2] = f"{passage} {' '.join(own)} " + " ".join(f"y{k}{j}" for j in range(20))
+    sets = {i: plain_shingles(t) for i, t in texts.items()}
+    fps = {i: simhash.fingerprint(t) for i, t in texts.items()}
+    ids = sorted(texts)
+    close = [(a, b) for a in ids for b in ids if a < b and (plain_similarity(sets[a], sets[b]) >= 0.8 or bin(fps[a] ^ fps[b]).count("1") <= 2)]
+    root = groups(ids, close)
+    kept = {r.doc_id for r in jaccard.near_dedup(spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(4)).collect()}
+    assert kept == set(root.values())
+
+
+def test_rows_that_share_an_id(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    docs = spark.createDataFrame([(1, a, "r"), (5, a, "s"), (5, b, "t"), (5, b, "u"), (None, a, "v")], "doc_id long, text string, key string")
+    for dedup in (jaccard.near_dedup, simhash.simhash_dedup):
+        out = dedup(docs)
+        assert out.columns == docs.columns and sorted(r.key for r in out.collect()) == ["r", "t", "u", "v"]
+    near = docs.where("key in ('s', 't')").withColumn("text", simhash.F.concat(simhash.F.lit(f"{a} "), simhash.F.substring("text", 1, 3)))
+    assert jaccard.near_dedup(near).count() == 1  # near copies under one id: one of them stays
