@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import decontaminate, jaccard, linededup, packing, rules, simhash
+from rasterloom.llm import decontaminate, jaccard, linededup, packing, rules
 from rasterloom.llm.common import Scratch, cleaned, table
 from rasterloom.llm.queries import tokenizer_path
 from rasterloom.session import ship
@@ -26,12 +26,15 @@ def _apart(docs: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataF
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go: null, empty and short texts among them. Very long texts are read whole. Rows are judged
+    each for itself, repeated ones and null doc_ids too; all of them train the rules' accuracies. An empty table stays empty."""
     return _apart(docs, lambda d: rules.quality_rules(d).where("kept"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; n_chars follows the text."""
+    """Repeated lines go, but for those in the smallest doc_id; n_chars, where there is one, follows the text. Null text becomes an
+    empty one. Very long texts are split whole. Rows that share a doc_id count as one document, rows without one keep all lines.
+    A document whose lines all go stays, empty. An empty table stays empty."""
 
     def dedup(d: DataFrame) -> DataFrame:
         out = linededup.line_dedup(d)
@@ -41,19 +44,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays: links are fingerprints within op2's radius, or 5-word Jaccard of 0.8 or more."""
+    """One document of each group of near copies stays, that with the smallest doc_id: links are fingerprints within op2's radius, or
+    5-word Jaccard of 0.8 or more. Null and empty texts are copies of each other. Rows that share a doc_id are judged each by its
+    own text, equal rows together; rows without a doc_id stay. Very long texts are read whole. An empty table stays empty."""
     ship(spark)
-    return _apart(docs, lambda d: jaccard.near_dedup(d, simhash.near_duplicates(d)))
+    return _apart(docs, jaccard.near_dedup)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark passages go."""
+    """Documents that hold benchmark passages go: a twentieth of their words or more in windows of 13. Null and empty texts stay, and
+    so do rows without a doc_id. Rows that share a doc_id are judged each by its own text, equal rows together. Very long texts
+    are judged by the same share. An empty table or benchmark drops nothing."""
     ship(spark)
     return _apart(docs, lambda d: decontaminate.decontaminate(d, table(spark, sf_dir, "benchmark")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents in sequences."""
+    """Pieces of the remaining documents in sequences. Null and empty texts are the end token alone; very long texts are cut into
+    pieces; each row is packed, repeated ones and null doc_ids too. An empty table gives no piece."""
     ship(spark)
     found = packing.pack(docs, tokenizer_path())
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
