@@ -202,7 +202,8 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column | None = None, ma
     # a threshold of the hash leaves about 0.97 * max_train rows in all, so no task sends its own max_train rows to the driver
     place = F.xxhash64("doc_id").cast("double") / 2.0**63
     sample = own.where(place < 1.94 * max_train / max(1, own.count()) - 1).orderBy(place, "doc_id", "quality").limit(max_train)
-    rows = sample.join(vectors, "doc_id").select("doc_id", "quality", "vector").collect()  # max_train vectors
+    # ids that several rows have bring a vector of each, but no more than max_train in all
+    rows = sample.join(vectors, "doc_id").select("doc_id", "quality", "vector").orderBy(place, "doc_id", "quality", "vector").limit(max_train).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["vector"]))
     x = np.array([np.frombuffer(r["vector"], np.float32) for r in rows], np.float64).reshape(len(rows), DIMS + 2)
     sent = docs.sparkSession.sparkContext.broadcast(train(x, np.array([float(r["quality"] == 1) for r in rows])))
