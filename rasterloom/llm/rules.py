@@ -123,23 +123,45 @@ def _probability(odds: Column) -> Column:
     return 1 / (1 + F.exp(-odds))
 
 
+def _expected(patterns: Column, odds) -> Column:
+    """Patterns (v, n) as v with g and b, how many of the n documents are good and bad at these log odds."""
+    return F.transform(patterns, lambda x: _let(_probability(odds(x["v"])), lambda p: F.struct(x["v"].alias("v"), (p * x["n"]).alias("g"), ((1 - p) * x["n"]).alias("b"))))
+
+
+def _maximised(expected: Column, n_rules: int) -> Column:
+    """[prior, each rule's vote probabilities in good documents, in bad ones], counts smoothed by one a vote."""
+    votes_of = F.sequence(F.lit(0), F.lit(3 * n_rules - 1))
+    cast = lambda x, k: F.get(x["v"], F.floor(k / 3).cast("int")) == k % 3 - 1
+    sums = lambda part: F.transform(votes_of, lambda k: F.aggregate(expected, F.lit(0.0), lambda a, x: a + F.when(cast(x, k), x[part]).otherwise(0.0)))
+    total = lambda s: F.get(s, F.lit(0)) + F.get(s, F.lit(1)) + F.get(s, F.lit(2))
+    smooth = lambda s: F.transform(s, lambda x: (x + 1) / (total(s) + len(VOTES)))
+    return _let(sums("g"), lambda g: _let(sums("b"), lambda b: F.concat(F.array((total(g) + 1) / (total(g) + total(b) + 2)), smooth(g), smooth(b))))
+
+
 def fit(patterns: DataFrame, n_rules: int, rounds: int = ROUNDS) -> Model | None:
     """The accuracies of the rules in each class and the prior, by EM from a table of vote patterns (v, n); None without rows.
 
-    A round is one aggregate over the patterns and brings three rows a rule to the driver. Counts are smoothed by one a vote.
+    The patterns (3 to the number of rules at most) become one row, and all rounds are one expression over it.
     """
-    v, model = F.col("v"), None
-    patterns = patterns.coalesce(1)  # bounded; in one partition the aggregate needs no shuffle
-    for _ in range(rounds):
-        p = _probability(_first(v) if model is None else _log_odds(v, model))
-        cast = patterns.select("n", p.alias("p"), F.posexplode("v").alias("j", "x")).groupBy("j", "x").agg(F.sum(F.col("p") * F.col("n")).alias("good"), F.sum((1 - F.col("p")) * F.col("n")).alias("bad"))
-        sums = {(r["j"], r["x"]): (r["good"], r["bad"]) for r in cast.collect()}  # three rows a rule at most
-        if not sums:
-            return None
-        total = [sum(sums.get((0, x), (0, 0))[k] for x in VOTES) for k in (0, 1)]
-        part = lambda k: tuple(tuple((sums.get((j, x), (0, 0))[k] + 1) / (total[k] + len(VOTES)) for x in VOTES) for j in range(n_rules))  # noqa: E731, B023
-        model = Model((total[0] + 1) / (sum(total) + 2), part(0), part(1))
-    return model
+    size = 3 * n_rules
+
+    def odds(model: Column):
+        """Log odds of votes: the prior's plus, for each rule, the log ratio of its vote's probability in good and bad documents."""
+        own = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda k: F.log(F.get(model, k) / F.get(model, k + size)))
+        return lambda table: lambda v: F.aggregate(F.sequence(F.lit(0), F.lit(n_rules - 1)), F.get(table, F.lit(size)), lambda a, j: a + F.get(table, 3 * j + F.get(v, j) + 1)), F.concat(own, F.array(F.log(F.get(model, F.lit(0)) / (1 - F.get(model, F.lit(0))))))
+
+    def step(model: Column) -> Column:
+        by, table = odds(model)
+        return _let(table, lambda t: _let(_expected(F.col("p"), by(t)), lambda e: _maximised(e, n_rules)))
+
+    one = patterns.agg(F.sort_array(F.collect_list(F.struct("v", F.col("n").cast("double").alias("n")))).alias("p")).where(F.size("p") > 0)
+    first = _let(_expected(F.col("p"), _first), lambda e: _maximised(e, n_rules))
+    found = one.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.array().cast("array<double>"), lambda m, k: F.when(k == 1, first).otherwise(step(m))).alias("m")).first()
+    if found is None:
+        return None
+    m = found["m"]
+    part = lambda at: tuple(tuple(m[at + 3 * j : at + 3 * j + 3]) for j in range(n_rules))
+    return Model(m[0], part(1), part(1 + size))
 
 
 def quality_rules(docs: DataFrame, rules=RULES) -> DataFrame:
