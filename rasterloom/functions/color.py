@@ -50,10 +50,15 @@ def palette(scale) -> list[Color]:
     return [parse(c) for c in scale]
 
 
-def ramp(v: Column, colors: list[Color], low: float, high: float) -> list[Column]:
+def span(low: float | Column, high: float | Column) -> float | Column:
+    """high - low, or 1 if they are equal."""
+    return F.when(high == low, 1.0).otherwise(high - low) if isinstance(low, Column) else (high - low) or 1
+
+
+def ramp(v: Column, colors: list[Color], low: float | Column, high: float | Column) -> list[Column]:
     """r, g, b of a value: piecewise linear over [low, high], clamped, rounded half up."""
     n = len(colors) - 1
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - low) / ((high - low) or 1))) * n
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - low) / span(low, high))) * n
     k = F.least(F.floor(t), F.lit(n - 1)) if n else F.lit(0)
     part = t - k
     out = []

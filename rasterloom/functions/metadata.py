@@ -21,15 +21,22 @@ def nodata_value(text: Column) -> Column:
     return F.when(F.lower(own) == "nan", F.lit(float("nan"))).when(own.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), own.try_cast("double"))
 
 
-_ITEM = r"""<Item\b[^>]*\bname="DESCRIPTION"[^>]*\bsample="([0-9]+)"[^>]*>([^<]*)</Item>"""
+def _labelled(piece: Column) -> Column:
+    """sample and label of the text behind an item's opening, or null: DESCRIPTION is named first, the sample's number follows."""
+    tag = F.substring_index(piece, ">", 1)
+    body = F.substring_index(F.substr(piece, F.length(tag) + 2), "<", 1)
+    after = F.substr(tag, F.greatest(F.instr(tag, 'name="DESCRIPTION"'), F.lit(1)))
+    number = F.substring_index(F.substring_index(after, ' sample="', -1), '"', 1)
+    ok = tag.contains('name="DESCRIPTION"') & after.contains(' sample="') & number.rlike("^[0-9]+$") & F.substr(piece, F.length(tag) + F.length(body) + 2).startswith("</Item>")
+    return F.when(ok, F.struct(number.cast("int").alias("sample"), body.alias("label")))
 
 
 def band_labels(xml: Column, bands: Column) -> Column:
-    """A label for each band, empty without one; name stands before sample in the item."""
-    pairs = F.arrays_zip(F.regexp_extract_all(xml, F.lit(_ITEM), F.lit(1)).alias("k"), F.regexp_extract_all(xml, F.lit(_ITEM), F.lit(2)).alias("t"))
-    of = lambda i: F.element_at(F.filter(pairs, lambda p: p["k"].cast("int") == i), -1)["t"]
-    label = lambda i: F.coalesce(F.when(F.size(F.filter(pairs, lambda p: p["k"].cast("int") == i)) > 0, of(i)), F.lit(""))
-    return F.when(bands < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), bands - 1), label))
+    """A label for each band, empty without one; name stands before sample in the item, and the last item of a band counts."""
+    items = F.filter(F.transform(F.split(xml, "<Item\\b"), _labelled), lambda x: x.isNotNull())
+    label = lambda i: F.coalesce(F.element_at(F.transform(F.filter(items, lambda x: x["sample"] == i), lambda x: x["label"]), -1), F.lit(""))
+    safe = lambda i: F.when(F.size(F.filter(items, lambda x: x["sample"] == i)) > 0, label(i)).otherwise("")
+    return F.when(bands < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), bands - 1), safe))
 
 
 def is_tile_service(url: Column) -> Column:

@@ -22,11 +22,12 @@ NEIGHBOURS = ("nw", "n", "ne", "w", "c", "e", "sw", "s", "se")
 
 
 def neighbours(pixels: DataFrame, keys: tuple[str, ...] = (), value: str = "v") -> DataFrame:
-    """pixels plus nw ... se, for pixels that have all of them."""
+    """pixels plus nw ... se, for pixels that have all of them; a missing pixel is nobody's neighbour."""
     across = Window.partitionBy(*keys, "row").orderBy("col")
     down = Window.partitionBy(*keys, "col").orderBy("row")
-    own = F.struct(F.lag(value).over(across).alias("w"), F.col(value).alias("c"), F.lead(value).over(across).alias("e"))
-    rows = pixels.withColumn("m", own).withColumns({"a": F.lag("m").over(down), "b": F.lead("m").over(down)})
+    beside = lambda f, c, step, x, w: F.when(f(c).over(w) == F.col(c) + step, f(x).over(w))
+    own = F.struct(beside(F.lag, "col", -1, value, across).alias("w"), F.col(value).alias("c"), beside(F.lead, "col", 1, value, across).alias("e"))
+    rows = pixels.withColumn("m", own).withColumns({"a": beside(F.lag, "row", -1, "m", down), "b": beside(F.lead, "row", 1, "m", down)})
     names = [F.col(f"{part}.{f}").alias(n) for n, (part, f) in zip(NEIGHBOURS, ((p, f) for p in "amb" for f in "wce"), strict=True)]
     whole = rows.select(*pixels.columns, *names)
     for n in NEIGHBOURS:

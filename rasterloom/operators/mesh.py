@@ -75,6 +75,7 @@ class Tin:
         self.triangles: dict[int, tuple[int, int, int]] = {}
         self.side: dict[tuple[int, int], int] = {}  # directed edge to its triangle
         self.heap: list[tuple[float, int, tuple[int, int]]] = []
+        self.squares: dict[int, float] = {}  # of the errors of all grid points in a triangle, its sides included
         self.count = 0
         for t in ((3, 0, 2), (0, 3, 1)):
             self._add(t)
@@ -89,12 +90,12 @@ class Tin:
         self.triangles[k] = t
         for i in range(3):
             self.side[t[i], t[(i + 1) % 3]] = k
-        worst, place = self._worst(t)
+        worst, place, self.squares[k] = self._worst(t)
         if place is not None:
             heapq.heappush(self.heap, (-worst, k, place))
 
-    def _worst(self, t: tuple[int, int, int]) -> tuple[float, tuple[int, int] | None]:
-        """The grid point in the triangle that is farthest from its plane."""
+    def _worst(self, t: tuple[int, int, int]) -> tuple[float, tuple[int, int] | None, float]:
+        """How far the grid point in the triangle is that is farthest from its plane, the point, and the sum of all squared distances."""
         p = np.array([self.points[i] for i in t])
         (x0, y0), (x1, y1) = p.min(0), p.max(0)
         y, x = np.mgrid[y0 : y1 + 1, x0 : x1 + 1]
@@ -103,10 +104,11 @@ class Tin:
         inside = (weights[0] >= 0) & (weights[1] >= 0) & (weights[2] >= 0)
         plane = sum(w * self.z[q[1], q[0]] for w, q in zip(weights, p, strict=True)) / area
         miss = np.where(inside, np.abs(plane - self.z[y0 : y1 + 1, x0 : x1 + 1]), -1)
+        squares = float(np.square(miss[inside]).sum())
         for q in p:
             miss[q[1] - y0, q[0] - x0] = -1
         at = np.unravel_index(miss.argmax(), miss.shape)
-        return (float(miss[at]), (int(at[1] + x0), int(at[0] + y0))) if miss[at] >= 0 else (0.0, None)
+        return (float(miss[at]), (int(at[1] + x0), int(at[0] + y0)), squares) if miss[at] >= 0 else (0.0, None, squares)
 
     def _in_circle(self, t: tuple[int, int, int], p: tuple[int, int]) -> bool:
         rows = [(q[0] - p[0], q[1] - p[1]) for q in (self.points[i] for i in t)]
@@ -129,6 +131,7 @@ class Tin:
         border = [(t[i], t[(i + 1) % 3]) for k in hole for t in (self.triangles[k],) for i in range(3) if self.side.get((t[(i + 1) % 3], t[i])) not in hole]
         for k in hole:
             t = self.triangles.pop(k)
+            del self.squares[k]
             for i in range(3):
                 self.side.pop((t[i], t[(i + 1) % 3]))
         self.points.append(p)
@@ -143,9 +146,8 @@ class Tin:
         return -self.heap[0][0] if self.heap else 0.0
 
     def rms(self) -> float:
-        """Root mean square of the triangles' worst errors."""
-        own = [e for e, k, _ in self.heap if k in self.triangles]
-        return float(np.sqrt(np.mean(np.square(own)))) if own else 0.0
+        """Root of the mean squared error: the squares of all triangles' grid points over the number of grid points."""
+        return float(np.sqrt(sum(self.squares.values()) / self.z.size))
 
     def run(self, max_error: float) -> tuple[np.ndarray, np.ndarray]:
         while self.max_error() > max_error:
@@ -214,13 +216,44 @@ def side_edges(vertices: DataFrame, side: str, keys: tuple[str, ...] = ()) -> Da
     return vertices.where(F.col("side") == side).withColumns({"p": F.col("vid"), "q": F.lead("vid").over(w)}).where(F.col("q").isNotNull()).select(*keys, "p", "q")
 
 
-def skirt(vertices: DataFrame, edges: DataFrame, height: float, n_vertices: int, exaggeration: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """The vertices and triangles that a mesh's edges (i from 0, p, q) add: each edge again, lower, and the two triangles between."""
+def numbered(edges: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """edges (keys, p, q) with i, their number from 0 in each mesh."""
+    order = Window.partitionBy(*(keys or (F.lit(0),))).orderBy("p", "q")
+    return edges.withColumn("i", (F.row_number().over(order) - 1).cast("int"))
+
+
+def skirt(vertices: DataFrame, edges: DataFrame, height: float, n_vertices: int | Column, exaggeration: float = 1.0, keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The vertices and triangles that a mesh's edges (keys, i from 0, p, q) add: each edge again, lower, and the two triangles between.
+
+    vertices (keys, vid, x, y, z, u, v) and edges may hold many meshes, told apart by keys; n_vertices is a number for all of them, or
+    a Column over edges.
+    """
     drop = height * exaggeration
     if drop <= 0:
-        return vertices.limit(0), edges.select(F.col("p").alias("a"), F.col("q").alias("b"), F.col("q").alias("c")).limit(0)
-    ends = edges.select("i", F.posexplode(F.array("p", "q")).alias("k", "vid"))
-    low = ends.join(vertices, "vid").select((F.lit(n_vertices) + 2 * F.col("i") + F.col("k")).cast("int").alias("vid"), "x", "y", (F.col("z") - drop).alias("z"), "u", "v")
-    first = (F.lit(n_vertices) + 2 * F.col("i")).cast("int")
+        return vertices.limit(0), edges.select(*keys, F.col("p").alias("a"), F.col("q").alias("b"), F.col("q").alias("c")).limit(0)
+    n = F.lit(n_vertices) if isinstance(n_vertices, int) else n_vertices
+    first = (n + 2 * F.col("i")).cast("int")
+    ends = edges.select(*keys, first.alias("first"), F.posexplode(F.array("p", "q")).alias("k", "vid"))
+    low = ends.join(vertices, [*keys, "vid"]).select(*keys, (F.col("first") + F.col("k")).cast("int").alias("vid"), "x", "y", (F.col("z") - drop).alias("z"), "u", "v")
     both = F.array(F.struct(F.col("p").alias("a"), (first + 1).alias("b"), F.col("q").alias("c")), F.struct((first + 1).alias("a"), F.col("p").alias("b"), first.alias("c")))
-    return low, edges.select(F.inline(both))
+    return low, edges.select(*keys, F.inline(both))
+
+
+def vertical_errors(meshes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """For each tile (keys, width, height, pixels, xs, ys, indices): max_error, the greatest distance of a pixel from the mesh's plane above or
+    below it, and n_covered, how many pixels some triangle covers. Corners take their height from pixels, not from the mesh."""
+    n, at = F.col("width"), lambda k: F.get("indices", 3 * F.col("t") + k)
+    z = lambda k: F.get("pixels", F.get("ys", at(k)) * n + F.get("xs", at(k))).cast("double")
+    corner = {f"{c}{k}": F.get(f"{c}s", at(k)) for k in range(3) for c in "xy"} | {f"z{k}": z(k) for k in range(3)}
+    own = meshes.select(*keys, "width", "pixels", "xs", "ys", "indices", F.explode(F.sequence(F.lit(0), (F.size("indices") / 3).cast("int") - 1)).alias("t"))
+    own = own.select(*keys, "width", "pixels", *(c.alias(k) for k, c in corner.items()))
+    side = lambda a, b, x, y: (F.col(f"x{b}") - F.col(f"x{a}")) * (y - F.col(f"y{a}")) - (F.col(f"y{b}") - F.col(f"y{a}")) * (x - F.col(f"x{a}"))
+    box = lambda c: F.explode(F.sequence(F.least(*(F.col(f"{c}{k}") for k in range(3))), F.greatest(*(F.col(f"{c}{k}") for k in range(3)))))
+    points = own.withColumn("py", box("y")).withColumn("px", box("x"))
+    x, y = F.col("px"), F.col("py")
+    points = points.withColumns({"area": side(0, 1, F.col("x2"), F.col("y2")), "w0": side(1, 2, x, y), "w1": side(2, 0, x, y), "w2": side(0, 1, x, y)})
+    points = points.where("area <> 0 and w0 * sign(area) >= 0 and w1 * sign(area) >= 0 and w2 * sign(area) >= 0")
+    plane = (F.col("w0") * F.col("z0") + F.col("w1") * F.col("z1") + F.col("w2") * F.col("z2")) / F.col("area")
+    miss = F.abs(plane - F.get("pixels", y * F.col("width") + x))
+    cells = points.groupBy(*keys, "px", "py").agg(F.max(miss).alias("e"))
+    return cells.groupBy(*keys).agg(F.max("e").alias("max_error"), F.count("*").alias("n_covered"))

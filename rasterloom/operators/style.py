@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.color import Color, palette, parse, ramp
+from ..functions.color import Color, palette, parse, ramp, span
 from ..functions.pixel import all_nodata, clamp_byte, is_invalid, scale
 from ..plans.options import Options
 
@@ -43,10 +43,14 @@ def in_class(v: Column, entry, last: bool) -> Column:
     return ((v >= low) if flags[0] else (v > low)) & ((v <= high) if flags[1] else (v < high))
 
 
-def value_color(v: Column, o: Options, nodata: Column, low: float | None = None, high: float | None = None) -> RGBA:
+#: The range of a heat map and of opacity: numbers, or Columns (a tile's own range); None: as the options say.
+Range = tuple[float | Column, float | Column] | None
+
+
+def value_color(v: Column, o: Options, nodata: Column, own: Range = None) -> RGBA:
     """One value's colour: invalid, then single colour, classes, exact values, heat map, else unidentified."""
     a = alpha255(o)
-    low, high = (o.color_scale_value_range if low is None else (low, high))
+    low, high = own or o.color_scale_value_range
     invalid = (is_invalid(v, nodata), constant(parse(o.null_color)))
     none = constant(parse(o.unidentified_color))
     if o.use_single_color:
@@ -71,28 +75,28 @@ def clipped(v: Column, o: Options) -> Column:
     return out
 
 
-def style_direct(v: Column, o: Options, nodata: Column) -> RGBA:
+def style_direct(v: Column, o: Options, nodata: Column, own: Range = None) -> RGBA:
     """Clip before anything else, then the value's colour (8-bit data, and whatever has no table)."""
-    return choose([(clipped(v, o), constant(parse(o.clipped_color)))], value_color(v, o, nodata))
+    return choose([(clipped(v, o), constant(parse(o.clipped_color)))], value_color(v, o, nodata, own))
 
 
-def smooth_index(v: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(0), F.least(F.lit(SMOOTH - 1), F.floor((v - low) / ((high - low) or 1) * (SMOOTH - 1)))).cast("int")
+def smooth_index(v: Column, low: float | Column, high: float | Column) -> Column:
+    return F.greatest(F.lit(0), F.least(F.lit(SMOOTH - 1), F.floor((v - low) / span(low, high) * (SMOOTH - 1)))).cast("int")
 
 
-def style_smooth(v: Column, o: Options, nodata: Column) -> RGBA:
+def style_smooth(v: Column, o: Options, nodata: Column, own: Range = None) -> RGBA:
     """A heat map by its table of 1,024 entries: invalid first; clipping looks at the entry's own value."""
-    low, high = o.color_scale_value_range
+    low, high = own or o.color_scale_value_range
     at = low + smooth_index(v, low, high) / (SMOOTH - 1.0) * (high - low)
     heat = choose([(clipped(at, o), constant(parse(o.clipped_color)))], (*ramp(at, palette(o.color_scale), low, high), F.lit(alpha255(o))))
     return choose([(is_invalid(v, nodata), constant(parse(o.null_color)))], heat)
 
 
-def with_opacity(rgba: RGBA, v: Column, o: Options, nodata: Column) -> RGBA:
+def with_opacity(rgba: RGBA, v: Column, o: Options, nodata: Column, own: Range = None) -> RGBA:
     """Alpha from the value, for valid values (clipped ones, too)."""
-    low, high = o.color_scale_value_range
-    own = clamp_byte(scale(v, F.lit(float(low)), F.lit(float(high)), F.lit(0.0), F.lit(255.0)))
-    return (*rgba[:3], F.when(is_invalid(v, nodata), rgba[3]).otherwise(own).cast("int"))
+    low, high = (x if isinstance(x, Column) else F.lit(float(x)) for x in own or o.color_scale_value_range)
+    part = clamp_byte(scale(v, low, high, F.lit(0.0), F.lit(255.0)))
+    return (*rgba[:3], F.when(is_invalid(v, nodata), rgba[3]).otherwise(part).cast("int"))
 
 
 def style_rgb(r: Column, g: Column, b: Column, o: Options, nodata: Column | None, a: Column | None = None) -> RGBA:
@@ -119,9 +123,9 @@ def style_glaze(mask: Column, max_alpha: float = 128) -> RGBA:
     return grey, grey, grey, F.when(mask == 0, 0).otherwise(F.floor(part * 255 * max_alpha / 255.0)).cast("int")
 
 
-def style(v: Column, o: Options, nodata: Column, sample_type: str = "Float32") -> RGBA:
+def style(v: Column, o: Options, nodata: Column, sample_type: str = "Float32", own: Range = None) -> RGBA:
     """The path that the sample type and the options ask for."""
     pure = o.use_heat_map and not (o.use_single_color or o.use_color_classes or o.use_colors_based_on_values or o.use_data_for_opacity)
     smooth = pure and sample_type in ("Float32", "UInt16", "Int16")
-    rgba = style_smooth(v, o, nodata) if smooth else style_direct(v, o, nodata)
-    return with_opacity(rgba, v, o, nodata) if o.use_data_for_opacity else rgba
+    rgba = style_smooth(v, o, nodata, own) if smooth else style_direct(v, o, nodata, own)
+    return with_opacity(rgba, v, o, nodata, own) if o.use_data_for_opacity else rgba

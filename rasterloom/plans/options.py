@@ -77,6 +77,17 @@ def resolve_mode(o: Options, given: dict[str, Any]) -> Options:
     return o
 
 
-def has_texture(o: Options, given: dict[str, Any]) -> bool:
-    """Whether a terrain tile needs a picture at all."""
-    return not o.skip_texture and any(given.get(k) for k in (*MODES, "use_swiss_relief"))
+def has_texture(o: Options, given: dict[str, Any] | None = None) -> bool:
+    """Whether a terrain tile needs a picture at all: by resolved options, or by those that were given."""
+    asked = given if given is not None else {f.name: getattr(o, f.name) for f in fields(o)}
+    return not o.skip_texture and any(asked.get(k) for k in (*MODES, "use_swiss_relief"))
+
+
+def is_kernel(o: Options) -> bool:
+    """Whether terrain needs slope, hillshade or relief, and so a halo."""
+    return o.use_slope or o.use_hillshade or o.use_swiss_relief
+
+
+def fetch_size(o: Options, tile: int = 256) -> int:
+    """Pixels to fetch a side: a terrain mesh has one more than the tile, kernels and glazes two."""
+    return tile + (2 if is_kernel(o) else 1) if o.type == "terrain" else tile + 2 * bool(o.use_relief_glaze)
