@@ -275,4 +275,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     drops nothing. Very long texts are judged by the same share of hit words.
     """
     bad = contamination(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("__bad"), F.col("tag").alias("__tag")).distinct()
+    bad = Scratch(docs.sparkSession, "contaminated").cut(bad)  # written, so its size is known and docs need no exchange when it is small
     return docs.join(bad, (docs["doc_id"].cast("long") == bad["__bad"]) & (F.xxhash64(docs["text"]) == bad["__tag"]), "left_anti")

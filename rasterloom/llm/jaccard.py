@@ -4,11 +4,12 @@ A text is the set of its 5-word shingles. Texts of one set are one node; so are,
 Further candidates share one of BANDS MinHash buckets, each the hash of PER_BAND minima; a pair with similarity 0.8 shares none
 with probability (1 - 0.8^5)^25, about 1 in 20,000. Candidates are confirmed by the exact similarity of the two sets.
 
-Pairs that are in one component already aren't compared. First every text of a bucket is compared with the bucket's smallest, so a
-large group of near copies costs about as many comparisons as it has members. The texts of buckets that then still hold several
-components (they share a passage, say, but less than 0.8) are joined by prefix filtering, which is exact: of two similar sets, in
-one order of all shingles with rare ones first, the smaller one's first n - ceil(2 * 0.8 / 1.8 * n) + 1 and the larger one's first
-n - ceil(0.8 * n) + 1 have a shingle in common. What many texts share comes last in that order, so a common passage makes no pairs.
+Pairs that are in one component already aren't compared. First every text is compared with one other, the smallest of all that it
+shares a bucket with, so a large group of near copies costs about as many comparisons as it has members. Of the buckets that then
+still hold several components, those with up to DENSE texts compare their pairs. The texts of larger ones (they share a passage,
+say, but less than 0.8) are joined by prefix filtering, which is exact: of two similar sets, in one order of all shingles with rare
+ones first, the smaller one's first n - ceil(2 * 0.8 / 1.8 * n) + 1 and the larger one's first n - ceil(0.8 * n) + 1 have a shingle
+in common. What many texts share comes last in that order, so a common passage makes no pairs.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from .components import components
 from .simhash import fingerprint, links
 
 SHINGLE, SIMILARITY, BANDS, PER_BAND, SEED = 5, 0.8, 25, 5, 42
-#: Shingles whose minima are taken at once.
-CHUNK = 2048
+#: Shingles whose minima are taken at once; texts of a bucket whose pairs are compared one by one.
+CHUNK, DENSE = 2048, 24
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * PER_BAND + 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MINIMA, _MIX = _ODD[: BANDS * PER_BAND, None], _ODD[BANDS * PER_BAND :]
@@ -102,21 +103,19 @@ def _confirmed(batches: Iterator[pa.RecordBatch], shingle: int, least: float) ->
 
 
 class _Joining:
-    """Components of nodes, joined by confirmed pairs."""
+    """The component of each set (known: node, n, comp), joined further by confirmed pairs."""
 
     def __init__(self, texts: DataFrame, sets: DataFrame, edges: DataFrame, scratch: Scratch, shingle: int, least: float):
         self.texts, self.scratch, self.shingle, self.least = texts, scratch, shingle, least
         self.sets = sets.select("node", F.col("doc_id").alias("__d"), F.col("tag").alias("__t"))
-        self.edges = edges
+        self.known = sets.select("node", "n", F.col("node").alias("comp"))
+        self.known = self.joined(edges, self.known)[0]
 
-    def roots(self) -> DataFrame:
-        return components(self.edges, self.scratch)
-
-    def renamed(self, rows: DataFrame) -> DataFrame:
-        """rows whose comp is that of now."""
-        own = self.scratch.cut(self.roots().select(F.col("node").alias("comp"), "root"))
-        cols = [F.coalesce("root", "comp").alias("comp") if c == "comp" else F.col(c) for c in rows.columns]
-        return self.scratch.cut(rows.join(own, "comp", "left").select(*cols))
+    def joined(self, edges: DataFrame, *rows: DataFrame) -> list[DataFrame]:
+        """rows with their comp replaced by the smallest one that edges (a, b) between comps lead to."""
+        roots = self.scratch.cut(components(edges, self.scratch).select(F.col("node").alias("comp"), "root"))
+        named = lambda r: [F.coalesce("root", "comp").alias("comp") if c == "comp" else F.col(c) for c in r.columns]
+        return [self.scratch.cut(r.join(roots, "comp", "left").select(*named(r)), "zstd") for r in rows]
 
     def texts_of(self, nodes: DataFrame) -> DataFrame:
         """nodes (node and more) with the text of each."""
@@ -124,16 +123,20 @@ class _Joining:
         own = self.texts.join(wanted, (F.col("doc_id") == F.col("__d")) & (F.col("tag") == F.col("__t")))
         return own.select(*nodes.columns, "text").dropDuplicates(["node"])
 
-    def confirm(self, pairs: DataFrame) -> None:
-        """Joins the components cx and cy of the pairs (x, y, cx, cy) that are near copies."""
+    def confirm(self, pairs: DataFrame, *rows: DataFrame) -> list[DataFrame]:
+        """rows, after the components cx and cy of the pairs (x, y, cx, cy) that are near copies have been joined."""
         pairs = self.scratch.cut(pairs.distinct())
-        own = self.scratch.cut(self.texts_of(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()), "zstd")
-        sides = (own.select(F.col("node").alias(n), F.col("text").alias(t)) for n, t in (("x", "s"), ("y", "t")))
-        for side, key in zip(sides, ("x", "y"), strict=True):
-            pairs = pairs.join(side, key)
+        ends = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
+        own = self.scratch.cut(self.texts_of(ends), "zstd")
+        both = pairs
+        for key, text in (("x", "s"), ("y", "t")):
+            both = both.join(own.select(F.col("node").alias(key), F.col("text").alias(text)), key)
         shingle, least = self.shingle, self.least
-        found = pairs.select(F.col("cx").alias("a"), F.col("cy").alias("b"), "s", "t").mapInArrow(lambda it: _confirmed(it, shingle, least), "a long, b long")
-        self.edges = self.scratch.cut(self.edges.unionByName(found.distinct()))
+        found = both.select(F.col("cx").alias("a"), F.col("cy").alias("b"), "s", "t").mapInArrow(lambda it: _confirmed(it, shingle, least), "a long, b long")
+        edges = self.scratch.cut(found.distinct())
+        self.known, *rows = self.joined(edges, self.known, *rows)
+        self.scratch.drop(pairs, own)
+        return rows
 
     def near(self, a: str, b: str) -> str:
         return f"least({a}, {b}) >= {self.least} * greatest({a}, {b}) - 1e-6"  # sets of such sizes can be that similar
@@ -144,25 +147,37 @@ class _Joining:
         return self.scratch.cut(rows.groupBy(by).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), hub).where("lo <> hi").select(by, "hub", "c"))
 
     def by_hubs(self, rows: DataFrame, by: str) -> DataFrame:
-        """Compares all rows (node, n, comp, by and more) of a group with its hub; the rows of groups that keep several components."""
-        now = self.scratch.cut(join_counted(rows, self.mixed(rows, by), [by]).drop("c"))
-        pairs = now.where(f"comp <> hub.comp and {self.near('n', 'hub.n')}")
-        self.confirm(pairs.select(F.col("hub.node").alias("x"), F.col("node").alias("y"), F.col("hub.comp").alias("cx"), F.col("comp").alias("cy")))
-        now = self.renamed(now.drop("hub"))
-        return self.scratch.cut(join_counted(now, self.mixed(now, by).select(by, "c"), [by]).drop("c"))
+        """Compares each set of rows (node, n, comp, by and more) with the smallest hub of its groups; the rows of groups that keep several
+        components, with c, how many there are."""
+        now = self.scratch.cut(join_counted(rows, self.mixed(rows, by), [by]).drop("c"), "zstd")
+        near = now.where(f"comp <> hub.comp and {self.near('n', 'hub.n')}")
+        one = near.groupBy("node", "comp").agg(F.min("hub").alias("hub"))
+        (later,) = self.confirm(one.select(F.col("hub.node").alias("x"), F.col("node").alias("y"), F.col("hub.comp").alias("cx"), F.col("comp").alias("cy")), now.drop("hub"))
+        self.scratch.drop(now)
+        out = self.scratch.cut(join_counted(later, self.mixed(later, by).select(by, "c"), [by]), "zstd")
+        self.scratch.drop(later)
+        return out
+
+    def by_pairs(self, rows: DataFrame, by: str) -> None:
+        """Compares the pairs of each small group."""
+        x, y = (rows.select(by, *(F.col(c).alias(f"{p}{c}") for c in ("node", "n", "comp"))) for p in "xy")
+        pairs = x.join(y, by).where(f"xnode < ynode and xcomp <> ycomp and {self.near('xn', 'yn')}")
+        self.confirm(pairs.select(F.col("xnode").alias("x"), F.col("ynode").alias("y"), F.col("xcomp").alias("cx"), F.col("ycomp").alias("cy")))
 
     def by_prefixes(self, nodes: DataFrame) -> None:
-        """Compares all of nodes (node, n, comp) that can be near copies."""
-        kind = self.texts_of(nodes.select("node", "comp")).select("node", "comp", "text")
+        """Compares all of nodes (node, comp) that can be near copies."""
+        kind = self.texts_of(nodes)
         shingle, t = self.shingle, self.least
-        tokens = self.scratch.cut(kind.mapInArrow(lambda it: _sets(it, shingle), "node long, comp long, tokens array<long>"), "zstd")
+        tokens = self.scratch.cut(kind.select("node", "comp", "text").mapInArrow(lambda it: _sets(it, shingle), "node long, comp long, tokens array<long>"), "zstd")
         rows = tokens.select("node", "comp", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("token"))
         common = self.scratch.cut(rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "zstd")
         # shingles of one text alone come first: they are as many as the text has besides the common ones
         own = join_counted(rows, common, ["token"]).groupBy("node", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("p"))
         probe = F.expr(f"n - ceil({t} * n - 1e-6) + 1")
         placed = own.select("node", "comp", "n", F.posexplode("p").alias("k", "p"), (F.col("n") - F.size("p")).alias("alone")).select("node", "comp", "n", "p.token", (F.col("alone") + F.col("k")).alias("at"))
-        placed = self.by_hubs(self.scratch.cut(placed.where(F.col("at") < probe), "zstd"), "token")
+        placed = self.scratch.cut(placed.where(F.col("at") < probe), "zstd")
+        self.scratch.drop(tokens, common)
+        placed = self.by_hubs(placed, "token")
         x, y = (placed.select("token", *(F.col(c).alias(f"{p}{c}") for c in ("node", "n", "comp", "at"))) for p in "xy")
         x = x.where(f"xat < xn - ceil({2 * t / (1 + t)} * xn - 1e-6) + 1")
         overlap = f"least(xn - xat, yn - yat) >= {t / (1 + t)} * (xn + yn) - 1e-6"  # even if all from here on agrees
@@ -184,11 +199,13 @@ def near_groups(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, least
     equal = join_counted(pairs, hubs, ["fp"]).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     edges = links(hubs.select("fp", F.col("hub").alias("node")), scratch).unionByName(equal)
     joining = _Joining(texts, sets, scratch.cut(edges.distinct()), scratch, shingle, least)
-    known = joining.renamed(sets.select("node", "n", F.col("node").alias("comp")))
-    members = known.join(sets.select("node", "buckets"), "node").select("node", "n", "comp", F.explode("buckets").alias("bucket"))
+    scratch.drop(signed, pairs)
+    members = joining.known.join(sets.select("node", "buckets"), "node").select("node", "n", "comp", F.explode("buckets").alias("bucket"))
     rest = joining.by_hubs(scratch.cut(members, "zstd"), "bucket")
-    joining.by_prefixes(scratch.cut(rest.select("node", "n", "comp").distinct()))
-    roots = scratch.cut(keyed.select("node", "c").join(joining.roots(), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    large = scratch.cut(rest.where(F.col("c") > DENSE).select("node").distinct())
+    joining.by_pairs(rest.where(F.col("c") <= DENSE), "bucket")
+    joining.by_prefixes(scratch.cut(large.join(joining.known.select("node", "comp"), "node")))
+    roots = scratch.cut(keyed.select("node", "c").join(joining.known.select("node", F.col("comp").alias("root")), "node"))
     return scratch.cut(join_counted(named.select("doc_id", "tag", "node"), roots, ["node"]).select("doc_id", "tag", "root"), "zstd")
 
 
