@@ -90,7 +90,7 @@ class Scratch:
         remove(self.spark, *(f._scratch_path for f in frames if f is not None and hasattr(f, "_scratch_path")))
 
 
-def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], n: str = "c", least: int = 1000, share: int = 2000) -> DataFrame:
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], n: str = "c", least: int = 100, share: int = 2000) -> DataFrame:
     """rows with the columns of counted, which has one row a key and in n how many of rows have it.
 
     Keys with more than a share-th of all these rows (and more than `least`) are hot: there are fewer than `share` of them, whatever

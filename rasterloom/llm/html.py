@@ -297,13 +297,13 @@ def extract(pages: DataFrame, min_run: int = MIN_RUN, min_pages: int = MIN_PAGES
     parsed = pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_parse, PARSED)
     keys = scratch.cut(parsed.where("tokens > 0").groupBy("host", "key").agg(F.max("tokens").alias("tokens"), F.count("*").alias("copies"), F.bool_and("article").alias("article")), "zstd")
     total = keys.agg(F.sum("copies")).first()[0] or 0
-    hot = F.col("copies") > max(1000, total // 2000)  # fewer than 2,000 pages, whatever the input
+    hot = F.col("copies") > max(100, total // 2000)  # fewer than 2,000 pages, whatever the input
     few = F.greatest(F.lit(float(min_pages)), F.least(F.count("*") * min_share, F.lit(float(ENOUGH_PAGES))))
     most = F.greatest(F.lit(float(ENOUGH_PAGES)), F.count("*") * ARTICLE_SHARE)
     size = F.sum(F.when(hot, F.col("tokens")).otherwise(F.col("tokens") * F.col("copies")))
     hosts = keys.groupBy("host").agg(F.greatest(F.lit(1), F.ceil(size / group_tokens)).cast("long").alias("groups"), few.alias("few"), most.alias("most"), F.sum("copies").alias("c"))
     hosts = scratch.cut(hosts)
-    big = F.col("c") > max(1000, total // 2000)
+    big = F.col("c") > max(100, total // 2000)
     streams = parsed.where("tokens > 0").select("host", "key", "stream", "article")
     if not keys.where(hot).isEmpty():
         copied = F.broadcast(keys.where(hot).select("host", "key"))
