@@ -1,4 +1,5 @@
-"""Tiled TIFF files: directories, tiles and codecs in Python. Raw, DEFLATE, LZW and PackBits data; JPEG and LERC raise an error."""
+"""Tiled TIFF files: directories, tiles and codecs in Python. Raw, DEFLATE, LZW and PackBits data; JPEG where Pillow is installed;
+LERC, and JPEG without it, by a codec of register_codec(), else they raise an error."""
 
 from __future__ import annotations
 
@@ -6,6 +7,8 @@ import os
 import struct
 import urllib.request
 import zlib
+from collections import OrderedDict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,14 +17,18 @@ import numpy as np
 _TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 WIDTH, HEIGHT, BITS, COMPRESSION, SAMPLES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, OFFSETS, COUNTS, FORMAT = 256, 257, 258, 259, 277, 284, 317, 322, 323, 324, 325, 339
 PIXEL_SCALE, TIEPOINT, GDAL_METADATA, GDAL_NODATA = 33550, 33922, 42112, 42113
-RAW, LZW, JPEG, DEFLATE, OLD_DEFLATE, PACKBITS, LERC = 1, 5, 7, 8, 32946, 32773, 34887
+RAW, LZW, JPEG, DEFLATE, OLD_DEFLATE, PACKBITS, LERC, JPEG_TABLES = 1, 5, 7, 8, 32946, 32773, 34887, 347
+
+
+#: Bytes of blocks that a file keeps at most.
+KEPT_BYTES = 64 << 20
 
 
 class RangeFile:
-    """Bytes of a local file or an http(s) URL; the latter by ranges in blocks that are kept (block_size 0: no blocks)."""
+    """Bytes of a local file or an http(s) URL; the latter by ranges in blocks, of which those last used are kept (block_size 0: no blocks)."""
 
     def __init__(self, url: str, block_size: int = 65536):
-        self.url, self.block_size, self.blocks = url.removeprefix("file://"), block_size, {}
+        self.url, self.block_size, self.blocks = url.removeprefix("file://"), block_size, OrderedDict()
         self.file = None if url.startswith(("http://", "https://")) else open(self.url, "rb")  # noqa: SIM115
 
     def _fetch(self, at: int, n: int) -> bytes:
@@ -36,11 +43,15 @@ class RangeFile:
         if not self.block_size:
             return self._fetch(at, n)
         first, last = at // self.block_size, (at + n - 1) // self.block_size
+        parts = []
         for k in range(first, last + 1):
             if k not in self.blocks:
                 self.blocks[k] = self._fetch(k * self.block_size, self.block_size)
-        data = b"".join(self.blocks[k] for k in range(first, last + 1))
-        return data[at - first * self.block_size :][:n]
+            self.blocks.move_to_end(k)
+            parts.append(self.blocks[k])
+            while len(self.blocks) * self.block_size > KEPT_BYTES and len(self.blocks) > 1:
+                self.blocks.popitem(last=False)
+        return b"".join(parts)[at - first * self.block_size :][:n]
 
     def close(self) -> None:
         if self.file:
@@ -141,7 +152,35 @@ def packbits(data: bytes) -> bytes:
     return b"".join(bytes([len(data[i : i + 128]) - 1]) + data[i : i + 128] for i in range(0, len(data), 128))
 
 
-def decompress(data: bytes, compression: int) -> bytes:
+_codecs: dict[int, Callable[[bytes, Image], bytes]] = {}
+
+
+def register_codec(compression: int, decode: Callable[[bytes, Image], bytes] | None) -> None:
+    """decode(data, image) gives a tile's raw bytes; None takes the codec away. Register it where tiles are read: in each worker."""
+    if decode is None:
+        _codecs.pop(compression, None)
+    else:
+        _codecs[compression] = decode
+
+
+def _jpeg(data: bytes, image: Image | None) -> bytes:
+    """By Pillow, if there is one; tables that tiles share stand before a tile's own data."""
+    try:
+        from PIL import Image as Picture
+    except ImportError:
+        raise ValueError("JPEG data can't be read: no codec for it is installed") from None
+    import io
+
+    tables = bytes(image.tags.get(JPEG_TABLES, ())) if image else b""
+    whole = tables[:-2] + data[2:] if tables else data
+    return np.asarray(Picture.open(io.BytesIO(whole))).tobytes()
+
+
+def decompress(data: bytes, compression: int, image: Image | None = None) -> bytes:
+    if compression in _codecs:
+        return _codecs[compression](data, image)
+    if compression == JPEG:
+        return _jpeg(data, image)
     if compression == RAW:
         return data
     if compression in (DEFLATE, OLD_DEFLATE):
@@ -150,7 +189,7 @@ def decompress(data: bytes, compression: int) -> bytes:
         return unlzw(data)
     if compression == PACKBITS:
         return unpackbits(data)
-    raise ValueError({JPEG: "JPEG", LERC: "LERC"}.get(compression, f"compression {compression}") + " data can't be read: no codec for it is installed")
+    raise ValueError({LERC: "LERC"}.get(compression, f"compression {compression}") + " data can't be read: no codec for it is installed")
 
 
 @dataclass
@@ -231,7 +270,7 @@ class Tiff:
     def _tile(self, im: Image, at: int, n: int, tw: int, th: int, bands: int) -> np.ndarray:
         if not n:
             return np.zeros((th, tw, bands), im.dtype)
-        data = decompress(self.file.read(at, n), im.one(COMPRESSION, RAW))
+        data = decompress(self.file.read(at, n), im.one(COMPRESSION, RAW), im)
         predictor = im.one(PREDICTOR, 1)
         if predictor == 3:  # bytes of a row by significance, differences of bytes
             size = im.dtype.itemsize
