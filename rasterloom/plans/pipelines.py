@@ -88,8 +88,10 @@ def bitmap(tiles: DataFrame, o: Options, sample_type: str = "Float32") -> DataFr
 
 
 def relief_masks(tiles: DataFrame, o: Options) -> DataFrame:
-    """The relief mask of tiles with a halo of two: the first band as it is."""
-    return kernels.tile_kernel(tiles.where("band = 1"), "relief", (*KEYS, "band"), z_factor=o.z_factor, weight=o.swiss_slope_weight)
+    """The relief mask of tiles with a halo of two: the first band as it is. Without a cell size, a 256th of the tile's width."""
+    own = _bounded(tiles.where("band = 1"), None)
+    own = own.withColumn("cell_size", geo.cell_size_or(F.col("cell_size"), F.col("min_x"), F.col("max_x")))
+    return kernels.tile_kernel(own, "relief", (*KEYS, "band"), z_factor=o.z_factor, weight=o.swiss_slope_weight)
 
 
 def glaze(tiles: DataFrame, o: Options, masks: DataFrame | None = None) -> DataFrame:
@@ -233,11 +235,11 @@ def terrain_texture(tiles: DataFrame, o: Options, bounds: tuple[float, float, fl
     derived = terrain_derived(tiles, o, bounds)
     if not o.use_swiss_relief:
         return _colored(to_pixels(derived, KEYS), style.style(F.col("v"), o, F.lit(o.no_data_value).cast("double")), "row", "col")
-    base = elevations(with_data(tiles, o), o).select(*KEYS, F.col("width").alias("full"), "nodata", F.col("pixels").alias("z"))
+    base = elevations(with_data(tiles, o), o).select(*KEYS, F.col("width").alias("full"), "nodata", F.col("pixels").alias("heights"))
     both = base.join(derived.select(*KEYS, "width", F.col("pixels").alias("mask")), list(KEYS))
-    px = both.select(*KEYS, "full", "width", "nodata", "z", F.posexplode("mask").alias("at", "mask"))
+    px = both.select(*KEYS, "full", "width", "nodata", "heights", F.posexplode("mask").alias("at", "mask"))
     row, col = F.floor(F.col("at") / F.col("width")).cast("int"), (F.col("at") % F.col("width")).cast("int")
-    px = px.select(*KEYS, row.alias("row"), col.alias("col"), "nodata", F.get("z", (row + 1) * F.col("full") + col + 1).cast("double").alias("v"), F.col("mask").cast("int").alias("mask"))
+    px = px.select(*KEYS, row.alias("row"), col.alias("col"), "nodata", F.get("heights", (row + 1) * F.col("full") + col + 1).cast("double").alias("v"), F.col("mask").cast("int").alias("mask"))
     return _colored(px, style.style_relief(F.col("v"), F.col("mask"), o, _nodata(o)), "row", "col")
 
 
