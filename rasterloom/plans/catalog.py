@@ -12,6 +12,7 @@ from ..functions import geo, lod, metadata, pixel
 from ..functions.color import palette
 from ..operators import kernels, mesh, picking, style, tiles
 from . import fixtures as fx
+from . import pipelines
 from .options import Options, merge
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,11 +88,10 @@ XML = ", ".join(
         ('<GDALMetadata><Item name="SCALE" sample="0">2</Item></GDALMetadata>', 2), ('<Item sample="0" name="DESCRIPTION">late</Item>', 1), ('<Item name="DESCRIPTION" sample="7">far</Item>', 2), ("", 1),
     ))
 )
-_ITEM = r"""<Item\s[^>]*name="DESCRIPTION"[^>]*\ssample="([0-9]+)"[^>]*>([^<]*)</Item>"""
-
-
-@query(rf"""with x as (select * from {fx.literal_sql(XML, "k, x, n")}), i as (select k, n, unnest(range(0, n))::int band, x from x),
-m as (select k, unnest(regexp_extract_all(x, '{_ITEM}', 1))::int band, unnest(regexp_extract_all(x, '{_ITEM}', 2)) label from x)
+@query(f"""with x as (select * from {fx.literal_sql(XML, "k, x, n")}), i as (select k, unnest(range(0, n))::int band from x),
+p as (select k, unnest(string_split(x, '<Item')[2:]) t from x), g as (select k, split_part(t, '>', 1) tag, substr(t, strpos(t, '>') + 1) rest from p where contains(t, '>')),
+a as (select k, substr(tag, strpos(tag, 'name="DESCRIPTION"')) tail, split_part(rest, '<', 1) label from g where contains(tag, 'name="DESCRIPTION"') and contains(rest, '</Item>')),
+m as (select k, try_cast(split_part(substr(tail, strpos(tail, ' sample="') + 9), '"', 1) as int) band, label from a where contains(tail, ' sample="'))
 select i.k, i.band, coalesce(label, '') label from i left join m on i.k = m.k and i.band = m.band""")
 def band_labels(spark, d):
     return fx.literal(spark, XML, "k, x, n").select("k", F.posexplode(metadata.band_labels(C("x"), C("n"))).alias("band", "label"))
@@ -626,23 +626,52 @@ def _mesh_input(spark, d):
     return t.withColumn("pixels", F.transform("pixels", lambda x: (x * 100).cast("float")))
 
 
-#: Every mesh covers its tile: twice the area is 2 * 32 * 32.
-_COVER = 'select distinct floor("row" / 33)::int tile_row, 0 tile_col, 2048::bigint area2, true sound from ({}) where "row" < 264'
-
-
-def _sound(meshes):
-    s = mesh.mesh_stats(meshes, KEYS)
-    return s.select(*KEYS, "area2", ((C("n_vertices") >= 4) & (C("n_triangles") >= 2) & (C("n_triangles") <= 2 * C("n_vertices"))).alias("sound"))
-
-
-@query(_COVER.format(fx.EMB))
+#: The bound of the meshes' errors, and the side of their tiles in cells.
+BOUND, SIDE = 20.0, 32
+
+
+def _rtin_sql() -> str:
+    """The right-triangulated mesh in SQL: all triangles of the hierarchy, errors from the finest level up, splits from the coarsest down."""
+    last = 2 * int(math.log2(SIDE)) - 1
+    both = "select l + 1 l, c0 a0, c1 a1, a0 b0, a1 b1, (a0 + b0) // 2 c0, (a1 + b1) // 2 c1 from {0} union all select l + 1, b0, b1, c0, c1, (a0 + b0) // 2, (a1 + b1) // 2 from {0}"
+    steps = [
+        f"""g as materialized (select tile_row, list(z order by y, x) z from (select floor("row" / 33)::int tile_row, ("row" % 33)::int y, col x, (v * 100)::float::double z from ({fx.EMB}) where "row" < 264 and col < 33) group by 1)""",
+        f"l0 as materialized (select * from (values (0, 0, 0, {SIDE}, {SIDE}, {SIDE}, 0), (0, {SIDE}, {SIDE}, 0, 0, 0, {SIDE})) r(l, a0, a1, b0, b1, c0, c1))",
+    ]
+    steps += [f"l{k + 1} as materialized ({both.format(f'l{k}')})" for k in range(last)]
+    for k in range(last, -1, -1):
+        z = lambda x, y: f"z[({y}) * {SIDE + 1} + ({x}) + 1]"
+        own = f"o{k} as materialized (select tile_row, t.*, (a0 + b0) // 2 mx, (a1 + b1) // 2 my, abs(({z('a0', 'a1')} + {z('b0', 'b1')}) / 2 - {z('(a0 + b0) // 2', '(a1 + b1) // 2')}) e from g, l{k} t)"
+        if k == last:
+            steps += [own, f"e{k} as materialized (select tile_row, mx, my, max(e) e from o{k} group by all)"]
+        else:
+            below = f"""select o.tile_row, o.mx, o.my, greatest(o.e, p.e, q.e) e from o{k} o join e{k + 1} p on p.tile_row = o.tile_row and p.mx = (o.c0 + o.a0) // 2 and p.my = (o.c1 + o.a1) // 2
+ join e{k + 1} q on q.tile_row = o.tile_row and q.mx = (o.b0 + o.c0) // 2 and q.my = (o.b1 + o.c1) // 2"""
+            steps += [own, f"e{k} as materialized (select tile_row, mx, my, max(e) e from ({below}) group by all)"]
+    steps.append("s0 as materialized (select tile_row, l0.* from (select distinct tile_row from g), l0)")
+    for k in range(last + 1):
+        steps.append(f"d{k} as materialized (select s.*, e > {BOUND!r}::double deeper from s{k} s join e{k} m on m.tile_row = s.tile_row and m.mx = (s.a0 + s.b0) // 2 and m.my = (s.a1 + s.b1) // 2)")
+        steps.append(f"s{k + 1} as materialized (select tile_row, c0 a0, c1 a1, a0 b0, a1 b1, (a0 + b0) // 2 c0, (a1 + b1) // 2 c1 from d{k} where deeper union all select tile_row, b0, b1, c0, c1, (a0 + b0) // 2, (a1 + b1) // 2 from d{k} where deeper)")
+    leaves = " union all ".join([f"select tile_row, a0, a1, b0, b1, c0, c1 from d{k} where not deeper" for k in range(last + 1)] + [f"select * from s{last + 1}"])
+    return f"""with {(","  + chr(10)).join(steps)}, f as materialized ({leaves}),
+v as (select tile_row, count(distinct (x, y)) n from (select tile_row, unnest([(a0, a1), (b0, b1), (c0, c1)]) p, p[1] x, p[2] y from f) group by 1)
+select tile_row, 0 tile_col, any_value(v.n)::bigint n_vertices, count(*)::bigint n_triangles, {2 * SIDE * SIDE}::bigint area2 from f join v using (tile_row) group by tile_row"""
+
+
+@query(_rtin_sql())
 def mesh_rtin_stats(spark, d):
-    return _sound(mesh.mesh_tiles(_mesh_input(spark, d), 20.0, "martini", KEYS))
+    return mesh.mesh_stats(mesh.mesh_tiles(_mesh_input(spark, d), BOUND, "martini", KEYS), KEYS)
 
 
-@query(_COVER.format(fx.EMB))
+@query(f"""select distinct floor("row" / 33)::int tile_row, 0 tile_col, {2 * SIDE * SIDE}::bigint area2, {(SIDE + 1) ** 2}::bigint n_covered, true bounded, true refined from ({fx.EMB}) where "row" < 264""")
 def mesh_tin_stats(spark, d):
-    return _sound(mesh.mesh_tiles(_mesh_input(spark, d), 20.0, "delatin", KEYS))
+    """Every pixel is covered and no farther from the mesh than the bound; a coarse mesh is farther, and has fewer triangles."""
+    own = _mesh_input(spark, d)
+    fine, coarse = (mesh.mesh_tiles(own, e, "delatin", KEYS) for e in (BOUND, 1e9))
+    errors = lambda m: mesh.vertical_errors(m.drop("width").join(own.select(*KEYS, "width", "height", "pixels"), list(KEYS)), KEYS)
+    two = errors(coarse).select(*KEYS, F.col("max_error").alias("coarse"))
+    out = errors(fine).join(mesh.mesh_stats(fine, KEYS), list(KEYS)).join(two, list(KEYS))
+    return out.select(*KEYS, "area2", "n_covered", (C("max_error") <= BOUND + 1e-6).alias("bounded"), ((C("coarse") > BOUND) & (C("n_triangles") > 2)).alias("refined"))
 
 
 BOX = (100.0, 200.0, 612.0, 712.0)
@@ -689,21 +718,26 @@ def edge_indices(spark, d):
 @query(f"""with e as (select (row_number() over (order by p, q) - 1)::int i, p, q from {_EDGES}), ends as (select i, 0 k, p vid from e union all select i, 1, q from e)
 select (256 + 2 * i + k)::int vid, (vid % 16)::double x, (vid // 16)::double y, (vid % 7)::double - 15.0::double z from ends""")
 def skirt(spark, d):
-    from pyspark.sql import Window
-
     n = 16
     v = spark.range(n * n).select(C("id").cast("int").alias("vid"), (C("id") % n).cast("double").alias("x"), F.floor(C("id") / n).cast("double").alias("y"), (C("id") % 7).cast("double").alias("z"), F.lit(0.0).alias("u"), F.lit(0.0).alias("v"))
-    e = mesh.outer_edges(_grid_triangles(spark)).withColumn("i", (F.row_number().over(Window.orderBy("p", "q")) - 1).cast("int"))
+    e = mesh.numbered(mesh.outer_edges(_grid_triangles(spark)))
     return mesh.skirt(v, e, 10.0, n * n, 1.5)[0].select("vid", "x", "y", "z")
 
 
+@query(f"""with e as (select (row_number() over (order by p, q) - 1)::int i, p, q from {_EDGES}), ends as (select i, 0 k, p vid from e union all select i, 1, q from e)
+select m::int m, (256 + 2 * i + k)::int vid, (vid % 16)::double + m x, (vid // 16)::double y, (vid % 7)::double * m - 15.0::double z from ends, (select unnest([1, 2, 3]) m)""")
+def skirt_tiles(spark, d):
+    """Skirts of several meshes at once."""
+    n, m = 16, F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("m")
+    v = spark.range(n * n).select(C("id").cast("int").alias("vid"), m).select("m", "vid", ((C("vid") % n) + C("m")).cast("double").alias("x"), F.floor(C("vid") / n).cast("double").alias("y"), (C("vid") % 7 * C("m")).cast("double").alias("z"), F.lit(0.0).alias("u"), F.lit(0.0).alias("v"))
+    e = mesh.numbered(mesh.outer_edges(_grid_triangles(spark).select("*", m), ("m",)), ("m",))
+    return mesh.skirt(v, e, 10.0, F.lit(n * n), 1.5, ("m",))[0].select("m", "vid", "x", "y", "z")
+
+
 @query(f"""with e as (select (row_number() over (order by p, q) - 1)::int i, p, q from {_EDGES}) select p a, 256 + 2 * i + 1 b, q c from e union all select 256 + 2 * i + 1, p, 256 + 2 * i from e""")
 def skirt_triangles(spark, d):
-    from pyspark.sql import Window
-
     v = spark.range(1).select(C("id").cast("int").alias("vid"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"), F.lit(0.0).alias("u"), F.lit(0.0).alias("v"))
-    e = mesh.outer_edges(_grid_triangles(spark)).withColumn("i", (F.row_number().over(Window.orderBy("p", "q")) - 1).cast("int"))
-    return mesh.skirt(v, e, 10.0, 256)[1]
+    return mesh.skirt(v, mesh.numbered(mesh.outer_edges(_grid_triangles(spark))), 10.0, 256)[1]
 
 
 # --- aggregates and picking -------------------------------------------------------------------------------------------------
@@ -771,3 +805,140 @@ def pick_derived(spark, d):
 @query(f"""select "row", col, round((b1 % 256) * 256.0::double + (b2 % 256) * 1.0::double + (b3 % 256) / 256.0::double - 32768.0::double, 6) z from {_B4}""")
 def decode_rgb_elevation(spark, d):
     return _wide(spark, d).select("row", "col", r6(pixel.rgb_elevation(C("b1") % 256, C("b2") % 256, C("b3") % 256, (256.0, 1.0, 1 / 256.0), -32768.0), "z"))
+
+
+# --- tile pipelines ---------------------------------------------------------------------------------------------------------
+
+
+def _tile_frame(raster: DataFrame, size: int, halo: int, rows: int, cols: int, nodata: float | None = -9999.0) -> DataFrame:
+    """Tiles (dataset e, z 4, x, y, band 1) of a raster; x counts tile rows, y tile columns."""
+    t = tiles.to_arrays(tiles.cut(raster, size, halo=halo).where(f"tile_row < {rows} and tile_col < {cols}"), KEYS, size + halo)
+    return t.select(F.lit("e").alias("dataset"), F.lit(4).alias("z"), C("tile_row").alias("x"), C("tile_col").alias("y"), F.lit(1).alias("band"), "width", "height", F.lit(nodata).cast("double").alias("nodata"), cell().alias("cell_size"), "pixels")
+
+
+TILE_RGBA = ("x", "y", "row", "col", "r", "g", "b", "a")
+
+
+@query(f"""select x, 0 y, round((-{HALF} + x * s)::float::double / 1000, 1) west, round((-{HALF} + (x + 1) * s)::float::double / 1000, 1) east, round(({HALF} - s)::float::double / 1000, 1) south,
+round({HALF}::float::double / 1000, 1) north, 289::bigint n_raw from (select unnest(range(0, 8))::int x, {CIRC} / 16 s)""")
+def terrain_bounds(spark, d):
+    t = _tile_frame(fx.emb(spark, d), 16, 1, 8, 1)
+    m = pipelines.terrain(t, merge(type="terrain"), 0.05).select("x", "y", "raw", F.posexplode("positions").alias("k", "p"))
+    side = lambda f, k: r6(f(F.when(C("k") % 3 == k, C("p"))) / 1000, digits=1)
+    return m.groupBy("x", "y").agg(side(F.min, 0).alias("west"), side(F.max, 0).alias("east"), side(F.min, 1).alias("south"), side(F.max, 1).alias("north"), F.max(F.size("raw")).cast("bigint").alias("n_raw"))
+
+
+_DOUBLED = f"""select "row", col, (case when v::float = -9999::float then v else v * 2 end)::float::double v from ({_H})"""
+
+
+@query(f"""select floor(("row" - 1) / 62)::int x, 0 y, (("row" - 1) % 62)::int "row", (col - 1)::int col, case when c::float = -9999::float then -1 else round({_SLOPE}::double, 3) end slope from {_near(_DOUBLED)} where "row" between 1 and 434""")
+def terrain_derived(spark, d):
+    t = _tile_frame(fx.holes(fx.emb(spark, d)), 62, 2, 7, 1)
+    out = tiles.to_pixels(pipelines.terrain_derived(t, merge(type="terrain", use_slope=True, multiplier=2.0)), ("x", "y"))
+    return out.select("x", "y", "row", "col", F.when(F.isnan("v"), -1.0).otherwise(r6(C("v"), digits=3)).alias("slope"))
+
+
+@query(f"""select floor(("row" - 1) / 62)::int x, 0 y, (("row" - 1) % 62)::int "row", (col - 1)::int col, r, g, b, a from (select "row", col, {_pick([_BAD], _SWISS)} from (select "row", col, c v, mask from {_MASK})) where "row" between 1 and 434""")
+def terrain_texture(spark, d):
+    """Elevations under Swiss relief."""
+    t = _tile_frame(fx.emb(spark, d), 62, 2, 7, 1)
+    return pipelines.terrain_texture(t, merge(type="terrain", use_swiss_relief=True, color_scale_value_range=OWN)).select(*TILE_RGBA)
+
+
+@query(f"""select floor(("row" - 1) / 62)::int x, 0 y, (("row" - 1) % 62)::int "row", (col - 1)::int col, r, g, b, a from (select "row", col, {_pick([("c::float = -9999::float", [0, 0, 0, 0])], [10, 20, 30, 254])} from {_near(_DOUBLED)}) where "row" between 1 and 434""")
+def terrain_texture_slope(spark, d):
+    """A derived surface in one colour: no texture where there is no data."""
+    t = _tile_frame(fx.holes(fx.emb(spark, d)), 62, 2, 7, 1)
+    return pipelines.terrain_texture(t, merge(type="terrain", use_slope=True, use_single_color=True, color=[10, 20, 30], multiplier=2.0)).select(*TILE_RGBA)
+
+
+_TWICE = f"""select "row", col, (case when v::float = -9999::float then -19998.0::double else v * 2 end)::float::double v from ({_H})"""
+
+
+@query(f"""select floor("row" / 16)::int x, floor(col / 16)::int y, ("row" % 16)::int "row", (col % 16)::int col, {_pick([("v = -19998", [0, 0, 0, 0])], _heat_sql(_AT, *OWN))} from ({_TWICE}) where "row" < 128 and col < 48""")
+def terrain_texture_source(spark, d):
+    """The source as a texture: without its last row and column, multiplied, noData left out."""
+    t = _tile_frame(fx.holes(fx.emb(spark, d)), 16, 1, 8, 3)
+    o = merge(type="terrain", use_heat_map=True, color_scale_value_range=OWN, multiplier=2.0)
+    return pipelines.terrain_texture(t, o).select(*TILE_RGBA)
+
+
+def _ramp_by(v: str, low: str, high: str, k: int) -> str:
+    """A channel of the ramp over SQL expressions."""
+    n = len(_YOR) - 1
+    t = f"(greatest(0.0::double, least(1.0::double, (({v}) - {low}) / (case when {high} = {low} then 1.0::double else {high} - {low} end))) * {n})"
+    at, i = f"[{', '.join(f'{c[k]}.0::double' for c in _YOR)}]", f"least(floor({t})::int, {n - 1})"
+    return f"floor({at}[{i} + 1] + ({t} - {i}) * ({at}[least({i} + 1, {n}) + 1] - {at}[{i} + 1]) + 0.5::double)::int"
+
+
+_TILED = f"""(select *, coalesce(min(v) filter (where ok) over w, 0.0::double) lo, coalesce(max(v) filter (where ok) over w, 255.0::double) hi
+from (select *, not (isnan(v) or v::float = -9999::float) ok from {_T8.format(_BLOCKED)}) window w as (partition by tile_row, tile_col))"""
+_AT_TILE = "(lo + greatest(0, least(1023, floor((v - lo) / (case when hi = lo then 1.0::double else hi - lo end) * 1023)))::int / 1023.0::double * (hi - lo))"
+_WHERE8 = "tile_row < 40"
+
+
+def _blocked_tiles(spark, d):
+    return _tile_frame(_blocked(spark, d), 8, 0, 40, 8)
+
+
+@query(f"""select tile_row x, tile_col y, "row", col, {_pick([_BAD], [_ramp_by(_AT_TILE, "lo", "hi", k) for k in range(3)] + ["254"])} from {_TILED} where {_WHERE8}""")
+def bitmap_auto_range(spark, d):
+    return pipelines.bitmap(_blocked_tiles(spark, d), merge(use_auto_range=True)).select(*TILE_RGBA)
+
+
+@query(f"""select tile_row x, tile_col y, "row", col, {_pick([("v <= -0.25::double", [7, 7, 7, 7]), *_CLASS_CASES], [0, 0, 0, 0])} from {_TILED} where {_WHERE8}""")
+def bitmap_auto_range_classes(spark, d):
+    """A tile's own range changes neither classes nor clip bounds."""
+    o = merge(use_auto_range=True, use_color_classes=True, color_classes=CLASSES, clip_low=-0.25, clipped_color=(7, 7, 7, 7))
+    return pipelines.bitmap(_blocked_tiles(spark, d), o).select(*TILE_RGBA)
+
+
+@query(f"""select tile_row x, tile_col y, "row", col, {_pick([("(tile_row + tile_col) % 2 = 0", [9, 8, 7, 6]), (_BAD[0], [9, 8, 7, 6])], [10, 20, 30, 254])} from {_T8.format(_BLOCKED)} where {_WHERE8}""")
+def bitmap_missing_channel(spark, d):
+    """Every other tile lacks the channel."""
+    t = _blocked_tiles(spark, d)
+    two = t.unionByName(t.where("(x + y) % 2 = 1").withColumn("band", F.lit(2)))
+    return pipelines.bitmap(two, merge(use_channel=2, null_color=(9, 8, 7, 6), use_single_color=True, color=[10, 20, 30])).select(*TILE_RGBA)
+
+
+@query(f"""select tile_row x, tile_col y from {_T8.format(_BLOCKED)} where {_WHERE8} group by 1, 2 having not bool_and(v::float = -9999::float) or (tile_row + tile_col) % 2 = 1""")
+def nodata_tiles_all_bands(spark, d):
+    """An unknown check: a tile without data in its band stays if another band has some."""
+    t = _blocked_tiles(spark, d)
+    two = t.unionByName(t.where("(x + y) % 2 = 1").withColumns({"band": F.lit(2), "pixels": F.transform("pixels", lambda v: F.lit(1.0).cast("float"))}))
+    return pipelines.with_data(two, merge(type="terrain", no_data_check="whatever")).select("x", "y")
+
+
+# --- picks in tiles ---------------------------------------------------------------------------------------------------------
+
+_VALUE = "((x * 31 + y * 17 + {row} * 7 + {col} * 3) % 101)"
+
+
+def _world(spark):
+    """All tiles of zoom 3, 16 pixels a side, of known values."""
+    t = spark.range(64).select(F.lit(3).alias("z"), (C("id") % 8).cast("int").alias("x"), F.floor(C("id") / 8).cast("int").alias("y"), F.lit(16).alias("width"), F.lit(16).alias("height"))
+    return t.withColumn("pixels", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: ((C("x") * 31 + C("y") * 17 + F.floor(i / 16) * 7 + i % 16 * 3) % 101).cast("float")))
+
+
+_LAT8 = f"degrees(2 * atan(exp({HALF} / {HALF} * {PI} * (1 - {{}} / 4.0::double))) - {PI} / 2)"
+_MERC = f"ln(tan({PI} / 4 + radians({{}}) / 2))"
+_IN_TILE = f"""(select *, floor(round((lon - west) / 45 * 15, 7))::int px, floor(round((({_MERC.format("north")}) - ({_MERC.format("lat")})) / (({_MERC.format("north")}) - ({_MERC.format("south")})) * 15, 7))::int py from
+(select *, x * 45.0::double - 180 west, {_LAT8.format("y")} north, {_LAT8.format("(y + 1)")} south from
+(select id, lon, lat, floor((lon + 180) / 360 * 8)::int x, floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / {PI}) / 2 * 8)::int y from ({fx.POINTS}))))"""
+
+
+@query(f"""select id, x, y, "row", col, ({_VALUE.format(row='"row"', col="col")})::double elevation from
+(select id, x, y, py + a.o "row", px + b.o col from {_IN_TILE}, (select unnest([-1, 0, 1]) o) a, (select unnest([-1, 0, 1]) o) b) where "row" between 0 and 15 and col between 0 and 15""")
+def sample_tiles(spark, d):
+    """Grids of pixels around points, each inside the point's tile."""
+    p = fx.points(spark, d).withColumns({"lon": C("lon") + 1e-9, "lat": C("lat") - 1e-9})
+    return picking.sample_tiles(p, _world(spark), 3).select("id", "x", "y", "row", "col", C("elevation").cast("double").alias("elevation"))
+
+
+@query(f"""select id, floor(round(coalesce(case when id % 2 = 0 then (id % 100) / 100.0::double end, (lon + 180) / 360) * 63, 7))::int px, floor(round(coalesce(case when id % 2 = 0 then (id % 90) / 90.0::double end, {_V}) * 63, 7))::int py from ({fx.POINTS})""")
+def pick_fallback(spark, d):
+    """Picks with their own u and v, and others by their coordinate."""
+    even = C("id") % 2 == 0
+    box = (F.lit(-180.0), F.lit(-60.0), F.lit(180.0), F.lit(60.0))
+    u, v = picking.uv_or_box(F.when(even, C("id") % 100 / 100.0), F.when(even, C("id") % 90 / 90.0), C("lon"), C("lat"), *box)
+    return fx.points(spark, d).select("id", F.floor(F.round(u * 63, 7)).cast("int").alias("px"), F.floor(F.round(v * 63, 7)).cast("int").alias("py"))
