@@ -58,15 +58,40 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _repeat_words(words: Column) -> Column:
-    """Words inside 3-word windows found twice or more. Equal windows become neighbours by sorting their hashes; each window
-    start then adds the words that the start before it did not cover."""
-    windows = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")))
+#: Bits of a window's place beside the upper bits of its hash; a text with more windows takes the longer way.
+PLACE = 20
+
+
+def _covered(starts: Column) -> Column:
+    """Words in 3-word windows at these starts (sorted): each start adds the words that the start before it did not cover."""
+    first = F.struct(F.lit(0).alias("n"), F.lit(-3).alias("at"))
+    return F.aggregate(starts, first, lambda a, x: F.struct((a["n"] + F.least(F.lit(3), x - a["at"])).alias("n"), x.alias("at")), lambda a: a["n"])
+
+
+def _starts(hashes: Column) -> Column:
+    """Places of hashes found twice or more, sorted: equal hashes become neighbours by sorting them with their places."""
     near = lambda s, k, x: F.coalesce(F.get(s, k)["h"] == x["h"], F.lit(False))
     twice = lambda s: F.sort_array(F.transform(F.filter(s, lambda x, k: near(s, k - 1, x) | near(s, k + 1, x)), lambda x: x["i"]))
-    start = F.struct(F.lit(0).alias("n"), F.lit(-3).alias("at"))
-    count = lambda p: F.aggregate(p, start, lambda a, x: F.struct((a["n"] + F.least(F.lit(3), x - a["at"])).alias("n"), x.alias("at")), lambda a: a["n"])
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(_let(F.sort_array(windows), lambda s: count(twice(s))))
+    return _let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), twice)
+
+
+def _quick_starts(hashes: Column) -> Column:
+    """The same by one long for hash and place, null where two different hashes agree in the bits that it keeps."""
+    low = (1 << PLACE) - 1
+    kept = lambda x: F.shiftright(x, PLACE)
+    packed = F.transform(hashes, lambda h, i: F.shiftleft(kept(h), PLACE).bitwiseOR(i.cast("long")))
+    near = lambda s, k, x: F.coalesce(kept(F.get(s, k)) == kept(x), F.lit(False))
+    at = lambda x: x.bitwiseAND(F.lit(low)).cast("int")
+    differ = lambda t: F.exists(F.sequence(F.lit(1), F.size(t) - 1), lambda k: (kept(F.get(t, k)) == kept(F.get(t, k - 1))) & (F.get(hashes, at(F.get(t, k))) != F.get(hashes, at(F.get(t, k - 1)))))
+    places = lambda t: F.when(F.size(t) < 2, F.array().cast("array<int>")).when(~differ(t), F.sort_array(F.transform(t, at)))
+    return _let(F.sort_array(packed), lambda s: _let(F.filter(s, lambda x, k: near(s, k - 1, x) | near(s, k + 1, x)), places))
+
+
+def _repeat_words(words: Column) -> Column:
+    """Words inside 3-word windows found twice or more. Texts whose windows all differ, which a hash set tells, aren't sorted."""
+    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+    found = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).when(F.size(h) > (1 << PLACE), _covered(_starts(h))).otherwise(_let(_quick_starts(h), lambda q: F.when(q.isNull(), _covered(_starts(h))).otherwise(_covered(q))))
+    return F.when(F.size(words) < 4, F.lit(0)).otherwise(_let(hashes, found))
 
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_stop", "n_ends", "n_lines_words")
@@ -82,7 +107,6 @@ def features(docs: DataFrame) -> DataFrame:
     # a generator over one struct holds its fields as they are: the optimizer computes them once, and never inside a later filter
     held = lambda df, cols: df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in cols.items())))))
     d = held(docs.drop(*FEATURES), {"__text": text, "__words": words, "__lines": lines})
-    stops = F.array(*(F.lit(w) for w in STOP_WORDS.split()))
     cols = {
         "n_words": F.size("__words").cast("long"),
         "word_chars": F.char_length(F.array_join("__words", "")).cast("long"),
@@ -90,7 +114,7 @@ def features(docs: DataFrame) -> DataFrame:
         "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
         "n_repeat_words": _repeat_words(F.col("__words")).cast("long"),
         "n_upper": less(F.col("__text"), "\\p{Lu}+"),
-        "n_stop": F.size(F.filter("__words", lambda w: F.array_contains(stops, w))).cast("long"),
+        "n_stop": F.size(F.filter("__words", lambda w: w.isin(*STOP_WORDS.split()))).cast("long"),
         "n_ends": less(F.col("__text"), "(?<=[^.!?\\s])[.!?](?=\\s|\\z)"),
         "n_lines_words": F.size("__lines").cast("long"),
     }
