@@ -173,9 +173,10 @@ class _Joining:
         common = self.scratch.cut(rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "zstd")
         # shingles of one text alone come first: they are as many as the text has besides the common ones
         own = join_counted(rows, common, ["token"]).groupBy("node", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("p"))
-        probe = F.expr(f"n - ceil({t} * n - 1e-6) + 1")
-        placed = own.select("node", "comp", "n", F.posexplode("p").alias("k", "p"), (F.col("n") - F.size("p")).alias("alone")).select("node", "comp", "n", "p.token", (F.col("alone") + F.col("k")).alias("at"))
-        placed = self.scratch.cut(placed.where(F.col("at") < probe), "zstd")
+        alone = F.col("n") - F.size("p")
+        first = F.greatest(F.lit(0), F.expr(f"n - ceil({t} * n - 1e-6) + 1") - alone).cast("int")  # common shingles among the text's first ones
+        placed = own.select("node", "comp", "n", alone.alias("alone"), F.posexplode(F.slice("p", F.lit(1), first)).alias("k", "p")).select("node", "comp", "n", "p.token", (F.col("alone") + F.col("k")).alias("at"))
+        placed = self.scratch.cut(placed, "zstd")
         self.scratch.drop(tokens, common)
         placed = self.by_hubs(placed, "token")
         x, y = (placed.select("token", *(F.col(c).alias(f"{p}{c}") for c in ("node", "n", "comp", "at"))) for p in "xy")
