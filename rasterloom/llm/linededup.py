@@ -37,11 +37,11 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
 
     Keys of min_chars code points or more found in min_docs documents or more lose all their lines but those in the smallest
     doc_id that has the key (there every copy stays). Null text counts as one empty line and comes back empty. A row whose
-    doc_id is null keeps all its lines and isn't counted. Rows that share a doc_id count as one document. An empty table gives
-    an empty table. Other columns pass through.
+    doc_id is null keeps all its lines and isn't counted. Rows that share a doc_id count as one document. Very long texts are
+    split whole. An empty table gives an empty table. Other columns pass through.
     """
     scratch = Scratch(docs.sparkSession, "linededup")
-    seen = _occurrences(docs, min_chars)
+    seen = scratch.cut(_occurrences(docs, min_chars), "zstd")  # read twice; lines are split and hashed once
     per_doc = seen.groupBy("h1", "h2", "doc").agg(F.lit(1).alias("one"))
     repeated = per_doc.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc").alias("keeper")).where(F.col("n") >= min_docs)
     repeated = scratch.cut(repeated.select("h1", "h2", "keeper"))
