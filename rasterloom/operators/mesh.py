@@ -75,7 +75,7 @@ class Tin:
         self.triangles: dict[int, tuple[int, int, int]] = {}
         self.side: dict[tuple[int, int], int] = {}  # directed edge to its triangle
         self.heap: list[tuple[float, int, tuple[int, int]]] = []
-        self.squares: dict[int, float] = {}  # of the errors of all grid points in a triangle, its sides included
+        self.xs, self.ys = np.arange(w, dtype=np.float64)[None], np.arange(h, dtype=np.float64)[:, None]
         self.count = 0
         for t in ((3, 0, 2), (0, 3, 1)):
             self._add(t)
@@ -90,25 +90,33 @@ class Tin:
         self.triangles[k] = t
         for i in range(3):
             self.side[t[i], t[(i + 1) % 3]] = k
-        worst, place, self.squares[k] = self._worst(t)
+        worst, place = self._worst(t)
         if place is not None:
             heapq.heappush(self.heap, (-worst, k, place))
 
-    def _worst(self, t: tuple[int, int, int]) -> tuple[float, tuple[int, int] | None, float]:
-        """How far the grid point in the triangle is that is farthest from its plane, the point, and the sum of all squared distances."""
-        p = np.array([self.points[i] for i in t])
-        (x0, y0), (x1, y1) = p.min(0), p.max(0)
-        y, x = np.mgrid[y0 : y1 + 1, x0 : x1 + 1]
-        area = self._cross(*map(tuple, p))
-        weights = [((p[j][0] - p[i][0]) * (y - p[i][1]) - (p[j][1] - p[i][1]) * (x - p[i][0])) for i, j in ((1, 2), (2, 0), (0, 1))]
-        inside = (weights[0] >= 0) & (weights[1] >= 0) & (weights[2] >= 0)
-        plane = sum(w * self.z[q[1], q[0]] for w, q in zip(weights, p, strict=True)) / area
-        miss = np.where(inside, np.abs(plane - self.z[y0 : y1 + 1, x0 : x1 + 1]), -1)
-        squares = float(np.square(miss[inside]).sum())
-        for q in p:
-            miss[q[1] - y0, q[0] - x0] = -1
-        at = np.unravel_index(miss.argmax(), miss.shape)
-        return (float(miss[at]), (int(at[1] + x0), int(at[0] + y0)), squares) if miss[at] >= 0 else (0.0, None, squares)
+    def _errors(self, t: tuple[int, int, int]) -> tuple[np.ndarray, int, int]:
+        """How far each grid point of the triangle's box is from its plane (-1 outside of the triangle), and the box's first column and row."""
+        (ax, ay), (bx, by), (cx, cy) = (self.points[i] for i in t)
+        x0, x1, y0, y1 = min(ax, bx, cx), max(ax, bx, cx), min(ay, by, cy), max(ay, by, cy)
+        x, y, z = self.xs[:, x0 : x1 + 1], self.ys[y0 : y1 + 1], self.z
+        w0 = (cx - bx) * (y - by) - (cy - by) * (x - bx)
+        w1 = (ax - cx) * (y - cy) - (ay - cy) * (x - cx)
+        area = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+        w2 = area - w0 - w1
+        miss = np.abs((w0 * z[ay, ax] + w1 * z[by, bx] + w2 * z[cy, cx]) / area - z[y0 : y1 + 1, x0 : x1 + 1])
+        miss[(w0 < 0) | (w1 < 0) | (w2 < 0)] = -1
+        return miss, x0, y0
+
+    def _worst(self, t: tuple[int, int, int]) -> tuple[float, tuple[int, int] | None]:
+        """The grid point in the triangle that is farthest from its plane."""
+        miss, x0, y0 = self._errors(t)
+        for i in t:
+            x, y = self.points[i]
+            miss[y - y0, x - x0] = -1
+        at = int(miss.argmax())
+        row, col = divmod(at, miss.shape[1])
+        own = float(miss[row, col])
+        return (own, (col + x0, row + y0)) if own >= 0 else (0.0, None)
 
     def _in_circle(self, t: tuple[int, int, int], p: tuple[int, int]) -> bool:
         rows = [(q[0] - p[0], q[1] - p[1]) for q in (self.points[i] for i in t)]
@@ -131,7 +139,6 @@ class Tin:
         border = [(t[i], t[(i + 1) % 3]) for k in hole for t in (self.triangles[k],) for i in range(3) if self.side.get((t[(i + 1) % 3], t[i])) not in hole]
         for k in hole:
             t = self.triangles.pop(k)
-            del self.squares[k]
             for i in range(3):
                 self.side.pop((t[i], t[(i + 1) % 3]))
         self.points.append(p)
@@ -146,8 +153,12 @@ class Tin:
         return -self.heap[0][0] if self.heap else 0.0
 
     def rms(self) -> float:
-        """Root of the mean squared error: the squares of all triangles' grid points over the number of grid points."""
-        return float(np.sqrt(sum(self.squares.values()) / self.z.size))
+        """Root of the mean squared error: the squares of all triangles' grid points, sides included, over the number of grid points."""
+        total = 0.0
+        for t in self.triangles.values():
+            miss, _, _ = self._errors(t)
+            total += float(np.square(miss[miss >= 0]).sum())
+        return float(np.sqrt(total / self.z.size))
 
     def run(self, max_error: float) -> tuple[np.ndarray, np.ndarray]:
         while self.max_error() > max_error:

@@ -38,9 +38,12 @@ def cut(pixels: DataFrame, size: int, halo: int = 0, centred: bool = False) -> D
 
 
 def pad(tiles: DataFrame, size: int, keys: tuple[str, ...], nodata: float | None = None) -> DataFrame:
-    """Every pixel of every tile: keys, row, col, v, with noData, else 0, where the tile has none."""
-    grid = tiles.select(*keys).distinct().withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
-    return grid.join(tiles.select(*keys, "row", "col", "v"), [*keys, "row", "col"], "left").withColumn("v", F.coalesce("v", F.lit(0.0 if nodata is None else float(nodata))))
+    """Every pixel of every tile: keys, row, col, v, with noData, else 0, where the tile has none. One exchange gathers a tile's pixels."""
+    fill, at = F.lit(0.0 if nodata is None else float(nodata)), (F.col("row") * size + F.col("col")).cast("int")
+    own = tiles.groupBy(*keys).agg(F.collect_list(F.struct(at.alias("at"), F.coalesce("v", fill).alias("v"))).alias("p"))
+    lacking = F.array_except(F.sequence(F.lit(0), F.lit(size * size - 1)), F.transform("p", lambda x: x["at"]))
+    whole = own.select(*keys, F.inline(F.concat("p", F.transform(lacking, lambda i: F.struct(i.alias("at"), fill.alias("v"))))))
+    return whole.select(*keys, F.floor(F.col("at") / size).cast("int").alias("row"), (F.col("at") % size).cast("int").alias("col"), "v")
 
 
 def backfill_border(tiles: DataFrame, size: int, keys: tuple[str, ...]) -> DataFrame:

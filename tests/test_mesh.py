@@ -62,3 +62,31 @@ def test_skirt_below_outer_edges():
     assert (low, high) == (pytest.approx(2 * g.min()), pytest.approx(2 * g.max()))
     assert len(xyz) == 81 + 2 * 32 and len(index) == 128 + 64 and len(uv) == len(xyz)
     assert xyz[81:, 2].max() <= high - 20 + 1e-3
+
+
+def test_rms_over_all_pixels():
+    """Against errors taken triangle by triangle; pixels on a side count in each triangle that has it."""
+    y, x = np.mgrid[0:17, 0:17]
+    grid = 10 * np.sin(x / 3) * np.cos(y / 4)
+    tin = mesh.Tin(grid)
+    points, index = tin.run(0.8)
+    total = 0.0
+    for t in index:
+        (ax, ay), (bx, by), (cx, cy) = points[t]
+        area = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+        for py in range(17):
+            for px in range(17):
+                w = [(cx - bx) * (py - by) - (cy - by) * (px - bx), (ax - cx) * (py - cy) - (ay - cy) * (px - cx), (bx - ax) * (py - ay) - (by - ay) * (px - ax)]
+                if min(w) >= 0:
+                    total += (sum(k * grid[q[1], q[0]] for k, q in zip(w, points[t], strict=True)) / area - grid[py, px]) ** 2
+    assert tin.rms() == np.sqrt(total / 289) or abs(tin.rms() - np.sqrt(total / 289)) < 1e-9
+    assert tin.max_error() <= 0.8
+
+
+def test_gaps_have_no_neighbours(spark):
+    from rasterloom.operators import kernels
+
+    px = spark.createDataFrame([(r, c, float(r * c)) for r in range(5) for c in range(5) if (r, c) != (2, 2)], "row int, col int, v double")
+    assert kernels.neighbours(px).count() == 0
+    own = kernels.neighbours(px.union(spark.createDataFrame([(2, 2, 4.0)], px.schema))).select("row", "col").collect()
+    assert {tuple(r) for r in own} == {(r, c) for r in (1, 2, 3) for c in (1, 2, 3)}
