@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, join_counted, rows_of
 
 #: Tokens of a repeated run at least, distinct pages that have it at least (and this share of the host's), tokens of a group.
-MIN_RUN, MIN_PAGES, MIN_SHARE, GROUP_TOKENS = 8, 3, 0.05, 200_000
+MIN_RUN, MIN_PAGES, MIN_SHARE, GROUP_TOKENS = 8, 3, 0.05, 50_000
 #: So many distinct pages are enough on a host of any size; inside articles at least so many, and this share of the host's.
 ENOUGH_PAGES, ARTICLE_SHARE = 10, 0.75
 
@@ -179,16 +179,20 @@ class Streams:
         kinds: dict[str, int] = {}
         kind = np.array([kinds.setdefault(s, len(kinds)) for s in self.streams], np.int64)
         self.pages = len(kinds)
-        pairs = np.unique(np.stack([2 * self.rank + self.inside, kind[self.page]], 1), axis=0)
-        both = np.bincount(pairs[:, 0], minlength=2 * len(self.rank) + 2)
+        pairs = np.unique((2 * self.rank + self.inside) * max(self.pages, 1) + kind[self.page]) // max(self.pages, 1)
+        both = np.bincount(pairs, minlength=2 * len(self.rank) + 2)
         return both[::2], both[1::2]
 
-    def runs(self) -> tuple[np.ndarray, np.ndarray]:
-        """The ranks of runs that end inside their page, and a hash of each."""
+    def runs(self, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ranks of runs that end inside their page (of those wanted, a flag by rank), and a hash of each."""
         n, ends = self.min_run, np.concatenate([[0], np.cumsum(self.tokens < 0)])
-        ranks, at = np.unique(self.rank, return_index=True)
+        at = np.empty(int(self.rank.max()) + 1 if len(self.rank) else 0, np.int64)
+        at[self.rank[::-1]] = np.arange(len(self.rank))[::-1]  # where each rank comes first
         whole = (at + n <= len(self.tokens)) & (ends[np.minimum(at + n, len(self.tokens))] == ends[at])
-        ranks, at = ranks[whole], at[whole]
+        ranks = np.flatnonzero(whole if wanted is None else whole & wanted[: len(at)])
+        if not len(ranks):
+            return ranks, np.empty(0, np.int64)
+        at = at[ranks]
         word = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) for w in self.names], np.uint64)
         h = np.zeros(len(at), np.uint64)
         for j in range(n):
@@ -246,9 +250,11 @@ def _count(table: pa.Table, min_run: int) -> pa.Table:
     """Runs of a group's distinct streams, with the number of streams that have each: all of those outside of articles, and those
     inside that have their share of the group's pages (and, in a host's only group, are on enough of them)."""
     own = Streams(table.column("stream").to_pylist(), min_run)
-    (ranks, h), (outside, inside) = own.runs(), own.counts()
+    outside, inside = own.counts()
     least = ENOUGH_PAGES if table.column("groups")[0].as_py() == 1 else 1
-    some, most = outside[ranks] > 0, inside[ranks] >= max(least, ARTICLE_SHARE * own.pages)
+    enough = max(least, ARTICLE_SHARE * own.pages)
+    ranks, h = own.runs((outside > 0) | (inside >= enough))
+    some, most = outside[ranks] > 0, inside[ranks] >= enough
     runs = np.concatenate([h[some], h[most]])
     n = np.concatenate([outside[ranks][some], inside[ranks][most]]).astype(np.int64)
     host, part = (pa.array([table.column(c)[0].as_py()] * len(runs), k) for c, k in (("host", pa.string()), ("part", pa.int64())))
@@ -264,7 +270,8 @@ def _recount(table: pa.Table, wanted: pa.Table, min_run: int) -> pa.Table:
     if not len(table) or not len(wanted):
         return _NO_COUNTS
     own = Streams(table.column("stream").to_pylist(), min_run)
-    (ranks, h), (_, inside) = own.runs(), own.counts()
+    _, inside = own.counts()
+    ranks, h = own.runs(inside > 0)
     ok = np.isin(h, wanted.column("run").to_numpy()) & (inside[ranks] > 0)
     return pa.table({"host": pa.array([table.column("host")[0].as_py()] * int(ok.sum()), pa.string()), "run": pa.array(h[ok]), "n": pa.array(inside[ranks][ok].astype(np.int64))})
 
