@@ -481,6 +481,19 @@ def slope_arrow(spark, d):
     return tiles.to_pixels(out, KEYS).select(*KEYS, "row", "col", r6(C("v"), "slope", 3))
 
 
+_IN62 = """floor(("row" - 1) / 62)::int tile_row, 0 tile_col, (("row" - 1) % 62)::int "row", (col - 1)::int col"""
+
+
+@query(f"""select {_IN62}, round({_HILL}::double, 2) shade from {_near(fx.EMB)} where "row" between 1 and 434""")
+def hillshade_arrow(spark, d):
+    return tiles.to_pixels(kernels.tile_kernel(_arrow_tiles(spark, d), "hillshade", KEYS), KEYS).select(*KEYS, "row", "col", r6(C("v"), "shade", 2))
+
+
+@query(f"""select {_IN62}, mask from {_MASK} where "row" between 1 and 434""")
+def relief_arrow(spark, d):
+    return tiles.to_pixels(kernels.tile_kernel(_arrow_tiles(spark, d), "relief", KEYS), KEYS).select(*KEYS, "row", "col", C("v").cast("int").alias("mask"))
+
+
 # --- styling ----------------------------------------------------------------------------------------------------------------
 
 _YOR = [c[:3] for c in palette("YlOrRd")]

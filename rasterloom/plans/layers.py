@@ -5,13 +5,13 @@ from __future__ import annotations
 from dataclasses import replace
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import cog
 from . import pipelines
 from .cache import MASKS, RASTERS, RESULTS, FrameCache, SharedJob
-from .options import Options, has_texture, is_kernel, merge
+from .options import Options, fetch_size, has_texture, is_kernel, merge
 
 #: Results of whole sets of bands are kept without a bound, by all that they depend on.
 UNBOUNDED = 1 << 30
@@ -56,6 +56,13 @@ class Layer:
         self.options = merge(**options)
         self.results, self.rasters, self.masks, self.bands = FrameCache(RESULTS), FrameCache(RASTERS), FrameCache(MASKS), FrameCache(UNBOUNDED)
 
+    @classmethod
+    def from_cog(cls, spark: SparkSession, paths: list[str], **options) -> Layer:
+        """A layer of files: its tiles are fetched with the halo that the options need, and read for the zooms that are asked for."""
+        cog.register(spark)
+        read = lambda mode, **more: spark.read.format("cog").options(paths=",".join(paths), mode=mode, blocksize=merge(**options).block_size, **more).load()
+        return cls(read("tiles", fetch=fetch_size(merge(**options))), read("catalog"), read("overviews"), **options)
+
     def restyled(self, **options) -> Layer:
         """The layer with other options; tiles and masks that were read stay, products that were made do, too, under their own options."""
         out = Layer(self.tiles, self.catalog, self.overviews, self.pickable, **{**self.given, **options})

@@ -22,6 +22,8 @@ from ..session import ship
 from .options import Options, has_texture, is_kernel
 
 KEYS = ("dataset", "z", "x", "y")
+#: planar_config of bands that lie one after the other; their colours aren't tested for noData (a fixed value).
+PLANAR = 2
 
 
 def channel(o: Options) -> int:
@@ -70,7 +72,7 @@ def bitmap(tiles: DataFrame, o: Options, sample_type: str = "Float32") -> DataFr
     names = [*KEYS, "nodata"]
     if o.use_channel is None and o.use_channel_index is None and (o.num_of_channels or 1) in (3, 4):
         px = to_pixels(tiles, (*names, "band")).groupBy(*names, "row", "col").agg(*(F.max(F.when(F.col("band") == k, F.col("v"))).alias(f"b{k}") for k in range(1, 5)))
-        return _colored(px, style.style_rgb(F.col("b1"), F.col("b2"), F.col("b3"), o, _nodata(o), F.col("b4") if o.num_of_channels == 4 else None), "row", "col")
+        return _colored(px, style.style_rgb(F.col("b1"), F.col("b2"), F.col("b3"), o, None if o.planar_config == PLANAR else _nodata(o), F.col("b4") if o.num_of_channels == 4 else None), "row", "col")
     k, own = channel(o), _band(tiles, o)
     if k < 1 or o.num_of_channels is not None and k > o.num_of_channels:
         return null_tiles(tiles.where("band = 1"), o)

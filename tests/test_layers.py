@@ -223,3 +223,23 @@ def test_accessors(spark, tmp_path):
     assert [(r.band, r.label) for r in layer.band_descriptions().collect()] == [(1, "first"), (2, "second")]
     b = layer.bounds_lonlat().first()
     assert b.west < b.east and b.south < b.north
+
+
+def test_layer_of_a_file(spark, tmp_path):
+    """From the file to the picture, the mesh and the texture: tiles come with the halo that the options need."""
+    y, x = np.mgrid[0:600, 0:600]
+    full = (100 + 40 * np.sin(x / 30) * np.cos(y / 25)).astype(np.float32)[:, :, None]
+    side = cog.CIRCUMFERENCE / 2**ZOOM
+    path = str(tmp_path / "d.tif")
+    tiff.write_cog(path, [full, full[::2, ::2].copy()], side / 256, (X * side - cog.HALF, cog.HALF - Y * side))
+    picture = layers.Layer.from_cog(spark, [path], color_scale_value_range=(60, 140)).picture(ZOOM)
+    assert picture.where(f"x = {X} and y = {Y}").count() == 256 * 256
+    terrain = layers.Layer.from_cog(spark, [path], type="terrain", use_slope=True)
+    out = terrain.heightmap(ZOOM, 2.0)
+    row = out.mesh.where(f"x = {X} and y = {Y}").first()
+    assert row.raw_width == 257 and len(row.raw) == 257 * 257 and row.raw[0] == pytest.approx(float(full[1, 1, 0]))
+    p = np.array(row.positions).reshape(-1, 3)
+    assert p[:, 0].min() == pytest.approx(X * side - cog.HALF, rel=1e-6) and p[:, 0].max() == pytest.approx((X + 1) * side - cog.HALF, rel=1e-6)
+    assert out.texture.where(f"x = {X} and y = {Y}").count() == 256 * 256 and out.derived.where(f"x = {X} and y = {Y}").first().width == 256
+    auto = terrain.heightmap(ZOOM - 1).mesh.first()  # the error of the overview
+    assert auto is not None and auto.z == ZOOM - 1
