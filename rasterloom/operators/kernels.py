@@ -1,6 +1,7 @@
-"""3x3 kernels on pixels (row, col, v and tile keys) as two windows, and on tiles (arrays of pixels) as numpy over Arrow batches.
+"""3x3 kernels on pixels (row, col, v and tile keys) by lines, and on tiles (arrays of pixels) as numpy over Arrow batches.
 
-The window form exchanges rows by (keys, row) and then (keys, col). The Arrow form needs no exchange: a tile carries its halo.
+The form by lines gathers pixels in lines and brings each line to its neighbours: two exchanges. The Arrow form needs none: a tile
+carries its halo.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pixel import f32, is_nodata
@@ -22,17 +23,28 @@ NEIGHBOURS = ("nw", "n", "ne", "w", "c", "e", "sw", "s", "se")
 
 
 def neighbours(pixels: DataFrame, keys: tuple[str, ...] = (), value: str = "v") -> DataFrame:
-    """pixels plus nw ... se, for pixels that have all of them; a missing pixel is nobody's neighbour."""
-    across = Window.partitionBy(*keys, "row").orderBy("col")
-    down = Window.partitionBy(*keys, "col").orderBy("row")
-    beside = lambda f, c, step, x, w: F.when(f(c).over(w) == F.col(c) + step, f(x).over(w))
-    own = F.struct(beside(F.lag, "col", -1, value, across).alias("w"), F.col(value).alias("c"), beside(F.lead, "col", 1, value, across).alias("e"))
-    rows = pixels.withColumn("m", own).withColumns({"a": beside(F.lag, "row", -1, "m", down), "b": beside(F.lead, "row", 1, "m", down)})
-    names = [F.col(f"{part}.{f}").alias(n) for n, (part, f) in zip(NEIGHBOURS, ((p, f) for p in "amb" for f in "wce"), strict=True)]
-    whole = rows.select(*pixels.columns, *names)
+    """pixels plus nw ... se, for pixels that have all of them; a missing pixel is nobody's neighbour.
+
+    Two exchanges, of whole lines: one gathers a line's pixels, one brings a line to those above and below it. Tasks hold three lines.
+    """
+    more = [c for c in pixels.columns if c not in (*keys, "row", "col")]
+    lines = pixels.groupBy(*keys, "row").agg(F.sort_array(F.collect_list(F.struct("col", *more))).alias("cells"))
+    col = lambda k: F.get("cells", k)["col"]
+    lacking = lambda i: F.array_repeat(F.lit(None).cast(pixels.schema[value].dataType), F.when(i > 0, col(i) - col(i - 1) - 1).otherwise(0).cast("int"))
+    dense = F.size("cells") == col(F.size("cells") - 1) - col(F.lit(0)) + 1
+    gapped = F.flatten(F.transform("cells", lambda x, i: F.concat(lacking(i), F.array(x[value]))))
+    values = F.when(dense, F.transform("cells", lambda x: x[value])).otherwise(gapped)
+    lines = lines.select(*keys, "row", "cells", F.struct(col(F.lit(0)).alias("first"), values.alias("values")).alias("line"))
+    step = F.explode(F.array(*map(F.lit, (-1, 0, 1)))).alias("step")
+    spread = lines.select(*keys, "row", "cells", "line", step).withColumns({"row": (F.col("row") + F.col("step")).cast(pixels.schema["row"].dataType)})
+    only = lambda k, c: F.max(F.when(F.col("step") == k, F.col(c)))  # noqa: E731  one line is not null
+    near = spread.groupBy(*keys, "row").agg(only(1, "line").alias("a"), only(0, "line").alias("m"), only(-1, "line").alias("b"), only(0, "cells").alias("cells"))
+    at = lambda part, x, d: F.get(F.col(f"{part}.values"), (x["col"] + d - F.col(f"{part}.first")).cast("int"))
+    own = lambda x: [x[c].alias(c) for c in ("col", *more)] + [at(p, x, d).alias(n) for n, (p, d) in zip(NEIGHBOURS, ((p, d) for p in "amb" for d in (-1, 0, 1)), strict=True)]
+    whole = near.where("a is not null and m is not null and b is not null").select(*keys, "row", F.inline(F.transform("cells", lambda x: F.struct(*own(x)))))
     for n in NEIGHBOURS:
         whole = whole.where(F.col(n).isNotNull())
-    return whole
+    return whole.select(*pixels.columns, *NEIGHBOURS)
 
 
 def gradients(cell: Column, north_up: bool = False) -> tuple[Column, Column]:
@@ -85,6 +97,21 @@ def relief_mask(slope_deg: Column, hill: Column, weight: float = 0.5) -> Column:
     return F.when(F.isnan(slope_deg), 0).otherwise(F.greatest(F.lit(1), (relief_weight(h, s, weight).cast("double") * 255).cast("int")))
 
 
+def relief(pixels: DataFrame, cell: Column, z_factor: float = 1.0, weight: float = 0.5, nodata: Column | None = None) -> DataFrame:
+    """neighbours() with slope, shade (from several lights) and mask; gradients, steepness and aspect are columns, computed once each."""
+    dx, dy = gradients(cell, True)
+    steep = F.atan(z_factor * F.sqrt(F.col("__dx") * F.col("__dx") + F.col("__dy") * F.col("__dy")))
+    own = pixels.withColumns({"__dx": dx, "__dy": dy}).withColumns({"__steep": steep, "__aspect": F.atan2("__dy", -F.col("__dx"))})
+    own = own.withColumns({"__cos": F.cos("__steep"), "__sin": F.sin("__steep")})
+    parts = []
+    for azimuth, altitude, share in LIGHTS:
+        zenith, turn = math.radians(90 - altitude), math.radians((450 - azimuth) % 360)
+        parts.append(share * F.greatest(F.lit(0.0), math.cos(zenith) * F.col("__cos") + math.sin(zenith) * F.col("__sin") * F.cos(turn - F.col("__aspect"))))
+    total = sum(parts, F.lit(0.0))
+    own = own.withColumns({"slope": _valid(F.degrees("__steep"), nodata), "shade": _valid(F.least(F.lit(255.0), total * 255), nodata)})
+    return own.withColumn("mask", relief_mask(F.col("slope"), F.col("shade"), weight)).drop("__dx", "__dy", "__steep", "__aspect", "__cos", "__sin")
+
+
 def relief_table(spark, weight: float = 0.5) -> DataFrame:
     """hill, steep and entry for all 65,536 pairs."""
     ids = spark.range(65536)

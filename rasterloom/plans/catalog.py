@@ -457,7 +457,7 @@ _MASK = f"""(select "row", col, c, greatest(1, trunc({_LUT.format(h="h", s="s")}
 
 
 def _masks(spark, d):
-    return _kernel(spark, d).withColumn("mask", kernels.relief_mask(kernels.slope(cell()), kernels.multi_hillshade(cell())))
+    return kernels.relief(_kernel(spark, d), cell())
 
 
 @query(f"""select "row", col, mask from {_MASK}""")
