@@ -7,7 +7,8 @@ MIN_RUN tokens or more and come from enough distinct pages are boilerplate. A pa
 uncovered: of its article, or, without an article element, of all its blocks.
 
 Inside an article enough pages means most of them (ARTICLE_SHARE of the host's distinct pages): text that some articles of a host
-share (licence lines, passages) belongs to them, what nearly all share is the host's template.
+share (licence lines, passages) belongs to them, what nearly all share is the host's template. Near copies of one article share
+nearly all of it: they stay whole.
 
 Hosts with many tokens are dealt into several groups of bounded size. Each group counts its runs by suffix array; the counts of
 equal runs are added over the host, so what is boilerplate doesn't depend on the groups. A run in articles that has the share of
@@ -32,6 +33,8 @@ from .common import Scratch, join_counted, rows_of
 MIN_RUN, MIN_PAGES, MIN_SHARE, GROUP_TOKENS = 8, 3, 0.05, 50_000
 #: So many distinct pages are enough on a host of any size; inside articles at least so many, and this share of the host's.
 ENOUGH_PAGES, ARTICLE_SHARE = 10, 0.75
+#: Share of an article's tokens that may be boilerplate.
+MOST_TAKEN = 0.5
 
 #: Elements that end a block, that are left out whole, and words of class, id or role that leave an element out (fixed values).
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
@@ -215,9 +218,12 @@ class Streams:
         return covered
 
     def masks(self, outside: np.ndarray, inside: np.ndarray) -> list[np.ndarray]:
-        """For each stream, which of its tokens (but for the first block's beginning) runs of these ranks cover: in blocks outside of articles, inside."""
+        """For each stream, which of its tokens (but for the first block's beginning) runs of these ranks cover: in blocks outside of articles,
+        inside. An article that runs cover by more than MOST_TAKEN isn't a template with a text, but a near copy of others: it stays whole."""
         covered = np.where(self.inside, *(self._covered(np.flatnonzero(np.isin(self.rank, r) & (self.inside == k))) for r, k in ((inside, True), (outside, False))))
-        ends = np.cumsum(self.sizes)
+        ends, word = np.cumsum(self.sizes), self.inside & (self.tokens > 1)
+        taken, of = (np.bincount(self.page, w, len(self.sizes)) for w in (covered & word, word))
+        covered &= ~(self.inside & (taken > MOST_TAKEN * of)[self.page])
         return [covered[e - n + 1 : e - 1] for e, n in zip(ends, self.sizes, strict=True)]
 
 

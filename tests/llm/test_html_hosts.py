@@ -64,3 +64,10 @@ def test_small_hosts_and_copies(spark):
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == 33
     assert {r.text for r in got if r.page_id != 101} == {text} and [r.text for r in got if r.page_id == 101] == [""]
+
+
+def test_near_copies_of_an_article_stay_whole(spark):
+    text = " ".join(f"w{k}" for k in range(80))
+    rows = [(k, f"http://n.org/{k}", f"<article><p>{text}</p><p>copy number {k} ends here</p></article>") for k in range(40)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id: r.text for r in got.collect()} == {k: f"{text}\n\ncopy number {k} ends here" for k in range(40)}
