@@ -30,6 +30,8 @@ from .simhash import fingerprint, links
 SHINGLE, SIMILARITY, BANDS, PER_BAND, SEED = 5, 0.8, 25, 5, 42
 #: Shingles whose minima are taken at once; texts of a bucket whose pairs are compared one by one.
 CHUNK, DENSE = 2048, 24
+#: Share of all frequent shingles that makes one hot: there are fewer hot ones than this.
+HOT = 2000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * PER_BAND + 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MINIMA, _MIX = _ODD[: BANDS * PER_BAND, None], _ODD[BANDS * PER_BAND :]
@@ -169,15 +171,19 @@ class _Joining:
         kind = self.texts_of(nodes)
         shingle, t = self.shingle, self.least
         tokens = self.scratch.cut(kind.select("node", "comp", "text").mapInArrow(lambda it: _sets(it, shingle), "node long, comp long, tokens array<long>"), "zstd")
-        rows = tokens.select("node", "comp", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("token"))
-        common = self.scratch.cut(rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "zstd")
-        # shingles of one text alone come first: they are as many as the text has besides the common ones
-        own = join_counted(rows, common, ["token"]).groupBy("node", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("p"))
-        alone = F.col("n") - F.size("p")
-        first = F.greatest(F.lit(0), F.expr(f"n - ceil({t} * n - 1e-6) + 1") - alone).cast("int")  # common shingles among the text's first ones
-        placed = own.select("node", "comp", "n", alone.alias("alone"), F.posexplode(F.slice("p", F.lit(1), first)).alias("k", "p")).select("node", "comp", "n", "p.token", (F.col("alone") + F.col("k")).alias("at"))
-        placed = self.scratch.cut(placed, "zstd")
-        self.scratch.drop(tokens, common)
+        counted = tokens.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c"))
+        counted = self.scratch.cut(counted.where(F.col("c") > DENSE), "zstd")
+        # the order of shingles: those of up to DENSE texts as they stand, frequent ones by their number; the most frequent ones, fewer than
+        # HOT whatever the input, are one array, so no row is made of them
+        limit = max(100, (counted.agg(F.sum("c")).first()[0] or 0) // HOT)
+        hot = F.lit([r["token"] for r in counted.where(F.col("c") > limit).orderBy("c", "token").collect()]).cast("array<bigint>")
+        cold = tokens.select("node", F.explode(F.array_except("tokens", hot)).alias("token")).join(counted.where(F.col("c") <= limit), "token")
+        cold = cold.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "token"))), lambda x: x["token"]).alias("cold"))
+        own = tokens.join(cold, "node", "left").withColumn("cold", F.coalesce("cold", F.array().cast("array<bigint>"))).withColumn("n", F.size("tokens").cast("long"))
+        order = F.concat(F.array_except(F.array_except("tokens", hot), "cold"), "cold", F.array_intersect(hot, "tokens"))
+        prefix = F.slice(order, F.lit(1), F.expr(f"cast(n - ceil({t} * n - 1e-6) + 1 as int)"))
+        placed = self.scratch.cut(own.select("node", "comp", "n", F.posexplode(prefix).alias("at", "token")), "zstd")
+        self.scratch.drop(tokens, counted)
         placed = self.by_hubs(placed, "token")
         x, y = (placed.select("token", *(F.col(c).alias(f"{p}{c}") for c in ("node", "n", "comp", "at"))) for p in "xy")
         x = x.where(f"xat < xn - ceil({2 * t / (1 + t)} * xn - 1e-6) + 1")
