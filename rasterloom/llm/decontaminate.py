@@ -255,11 +255,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     if index is None:
         index = scratch.cut(build_index(docs, segment), "zstd")
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null").distinct()
-    found, n_blocks = None, 0
-    for n_blocks, phrases in enumerate(phrase_blocks((tuple(r) for r in items.toLocalIterator()), window, block_words), 1):
-        own = search(index, phrases, slop, n_blocks == 1)
-        found = own if found is None else scratch.cut(found).unionByName(scratch.cut(own))
-    if n_blocks > 1:  # a document is its segment and place in the written index, whichever block reads it
+    blocks: list[DataFrame] = []
+    for phrases in phrase_blocks((tuple(r) for r in items.toLocalIterator()), window, block_words):
+        if blocks:
+            blocks[-1] = scratch.cut(blocks[-1])  # so one block's phrases are broadcast at a time
+        blocks.append(search(index, phrases, slop, not blocks))
+    found = blocks[0]
+    if len(blocks) > 1:  # a document is its segment and place in the written index, whichever block reads it
+        for own in blocks[1:]:
+            found = found.unionByName(own)
         lists = (F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "stops", "item_ids", "near_ids"))
         found = found.groupBy("seg", "ord").agg(*(F.first(c).alias(c) for c in ("doc_id", "tag", "n_words")), *lists)
     sorted_ids = {c: F.array_sort(F.array_distinct(c)) for c in ("item_ids", "near_ids")}
