@@ -772,7 +772,8 @@ def residual_rms(spark, d):
 PICKS = "(1, array(1.0D, 2.0D, 3.0D)), (2, array(1.0D, 2.0D)), (3, array(1.0D, cast(null as double), 3.0D)), (4, cast(null as array<double>))"
 
 
-@query("select k, c[1] longitude, c[2] latitude, c[3] elevation from (values (1, [1.0::double, 2.0, 3.0]), (2, null), (3, null), (4, null)) t(k, c)")
+@query("""select k, case when whole then c[1] end longitude, case when whole then c[2] end latitude, case when whole then c[3] end elevation from
+(select k, c, len(c) = 3 and len(list_filter(c, lambda x: x is not null)) = 3 whole from (values (1, [1.0::double, 2.0, 3.0]), (2, [1.0::double, 2.0]), (3, [1.0::double, null, 3.0]), (4, null::double[])) t(k, c))""")
 def pick_coord(spark, d):
     p = fx.literal(spark, PICKS, "k, c").select("k", picking.pick_coordinate(C("c")).alias("p"))
     return p.select("k", "p.longitude", "p.latitude", "p.elevation")
