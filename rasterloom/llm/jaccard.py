@@ -30,7 +30,7 @@ from .simhash import fingerprint, links
 SHINGLE, SIMILARITY, BANDS, PER_BAND, SEED = 5, 0.8, 25, 5, 42
 #: Shingles whose minima are taken at once; texts of a bucket whose pairs are compared one by one.
 CHUNK, DENSE = 2048, 24
-#: Share of all frequent shingles that makes one hot: there are fewer hot ones than this.
+#: Shingles that are broadcast at most: the most frequent ones.
 HOT = 2000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * PER_BAND + 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -104,6 +104,13 @@ def _confirmed(batches: Iterator[pa.RecordBatch], shingle: int, least: float) ->
         yield pa.RecordBatch.from_arrays([a, c], ["a", "b"]).filter(ok)
 
 
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different tokens of a batch with their number."""
+    for b in batches:
+        token, c = np.unique(np.asarray(b.column(0).flatten()), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(token, pa.int64()), pa.array(c, pa.int64())], ["token", "c"])
+
+
 class _Joining:
     """The component of each set (known: node, n, comp), joined further by confirmed pairs."""
 
@@ -171,15 +178,20 @@ class _Joining:
         kind = self.texts_of(nodes)
         shingle, t = self.shingle, self.least
         tokens = self.scratch.cut(kind.select("node", "comp", "text").mapInArrow(lambda it: _sets(it, shingle), "node long, comp long, tokens array<long>"), "zstd")
-        counted = tokens.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c"))
+        counted = tokens.select("tokens").mapInArrow(_tally, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
         counted = self.scratch.cut(counted.where(F.col("c") > DENSE), "zstd")
-        # the order of shingles: those of up to DENSE texts as they stand, frequent ones by their number; the most frequent ones, fewer than
-        # HOT whatever the input, are one array, so no row is made of them
-        limit = max(100, (counted.agg(F.sum("c")).first()[0] or 0) // HOT)
-        hot = F.lit([r["token"] for r in counted.where(F.col("c") > limit).orderBy("c", "token").collect()]).cast("array<bigint>")
-        cold = tokens.select("node", F.explode(F.array_except("tokens", hot)).alias("token")).join(counted.where(F.col("c") <= limit), "token")
-        cold = cold.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "token"))), lambda x: x["token"]).alias("cold"))
-        own = tokens.join(cold, "node", "left").withColumn("cold", F.coalesce("cold", F.array().cast("array<bigint>"))).withColumn("n", F.size("tokens").cast("long"))
+        # the order of shingles: those of up to DENSE texts as they stand, then frequent ones by their number; the HOT most frequent ones are
+        # one array, so no row is made of them, and all others, if there are more, meet their texts in a join
+        top = counted.orderBy(F.desc("c"), "token").limit(HOT).collect()
+        hot = F.lit([r["token"] for r in sorted(top, key=lambda r: (r["c"], r["token"]))]).cast("array<bigint>")
+        own, none = tokens.withColumn("n", F.size("tokens").cast("long")), F.array().cast("array<bigint>")
+        if len(top) < HOT:
+            own = own.withColumn("cold", none)
+        else:
+            others = counted.where(~F.array_contains(hot, F.col("token")))
+            cold = tokens.select("node", F.explode(F.array_except("tokens", hot)).alias("token")).join(others, "token")
+            cold = cold.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "token"))), lambda x: x["token"]).alias("cold"))
+            own = own.join(cold, "node", "left").withColumn("cold", F.coalesce("cold", none))
         order = F.concat(F.array_except(F.array_except("tokens", hot), "cold"), "cold", F.array_intersect(hot, "tokens"))
         prefix = F.slice(order, F.lit(1), F.expr(f"cast(n - ceil({t} * n - 1e-6) + 1 as int)"))
         placed = self.scratch.cut(own.select("node", "comp", "n", F.posexplode(prefix).alias("at", "token")), "zstd")

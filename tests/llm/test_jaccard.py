@@ -1,6 +1,7 @@
 """The pipeline's near-dedup stage on planted copies, against all pairs."""
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from rasterloom.llm import jaccard, simhash
@@ -55,8 +56,10 @@ def test_similarity():
     assert len(jaccard.shingles("a b")) == 1 and len(jaccard.shingles(None)) == 0
 
 
-def test_a_common_passage_makes_no_pairs_and_hides_none(spark):
+@pytest.mark.parametrize("hot", [2000, 30])
+def test_a_common_passage_makes_no_pairs_and_hides_none(spark, monkeypatch, hot):
     """Many texts share a passage, less than 0.8 of each; some of them have near copies, of other lengths too."""
+    monkeypatch.setattr(jaccard, "HOT", hot)
     rng = np.random.default_rng(11)
     passage = " ".join(f"p{k}" for k in range(70))
     texts = {}
