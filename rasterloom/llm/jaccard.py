@@ -5,7 +5,7 @@ Further candidates share one of BANDS MinHash buckets, each the hash of PER_BAND
 with probability (1 - 0.8^5)^25, about 1 in 20,000. Candidates are confirmed by the exact similarity of the two sets.
 
 Pairs that are in one component already aren't compared. First every text is compared with one other, the smallest of all that it
-shares a bucket with, so a large group of near copies costs about as many comparisons as it has members. Of the buckets that then
+shares a bucket with, then with one by hash, TURNS in all, so a large group of near copies costs about as many comparisons as it has members. Of the buckets that then
 still hold several components, those with up to DENSE texts compare their pairs. The texts of larger ones (they share a passage,
 say, but less than 0.8) are joined by prefix filtering, which is exact: of two similar sets, in one order of all shingles with rare
 ones first, the smaller one's first n - ceil(2 * 0.8 / 1.8 * n) + 1 and the larger one's first n - ceil(0.8 * n) + 1 have a shingle
@@ -32,6 +32,8 @@ SHINGLE, SIMILARITY, BANDS, PER_BAND, SEED = 5, 0.8, 25, 5, 42
 CHUNK, DENSE = 2048, 24
 #: Shingles that are broadcast at most: the most frequent ones.
 HOT = 2000
+#: Times that each text is compared with a hub before pairs are.
+TURNS = 3
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * PER_BAND + 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MINIMA, _MIX = _ODD[: BANDS * PER_BAND, None], _ODD[BANDS * PER_BAND :]
@@ -150,15 +152,21 @@ class _Joining:
     def near(self, a: str, b: str) -> str:
         return f"least({a}, {b}) >= {self.least} * greatest({a}, {b}) - 1e-6"  # sets of such sizes can be that similar
 
-    def mixed(self, rows: DataFrame, by: str) -> DataFrame:
-        """The groups with several components: their smallest set as hub, and their rows' number."""
-        hub = F.min(F.struct("n", "node", "comp")).alias("hub")
+    def mixed(self, rows: DataFrame, by: str, turn: int = 0) -> DataFrame:
+        """The groups with several components: their smallest set as hub (in later turns, one by hash), and their rows' number."""
+        first = F.col("n") if not turn else F.xxhash64("node", F.lit(turn))
+        hub = F.min(F.struct(first.alias("first"), "n", "node", "comp")).alias("hub")
         return self.scratch.cut(rows.groupBy(by).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), hub).where("lo <> hi").select(by, "hub", "c"))
 
-    def by_hubs(self, rows: DataFrame, by: str) -> DataFrame:
-        """Compares each set of rows (node, n, comp, by and more) with the smallest hub of its groups; the rows of groups that keep several
-        components, with c, how many there are."""
-        now = self.scratch.cut(join_counted(rows, self.mixed(rows, by), [by]).drop("c"), "zstd")
+    def by_hubs(self, rows: DataFrame, by: str, turns: int = TURNS) -> DataFrame:
+        """Compares each set of rows (node, n, comp, by and more) with the first hub of its groups, in each turn another one; the rows of
+        groups that keep several components, with c, how many there are."""
+        for turn in range(turns):
+            rows = self._turn(rows if not turn else rows.drop("c"), by, turn)
+        return rows
+
+    def _turn(self, rows: DataFrame, by: str, turn: int) -> DataFrame:
+        now = self.scratch.cut(join_counted(rows, self.mixed(rows, by, turn), [by]).drop("c"), "zstd")
         near = now.where(f"comp <> hub.comp and {self.near('n', 'hub.n')}")
         one = near.groupBy("node", "comp").agg(F.min("hub").alias("hub"))
         (later,) = self.confirm(one.select(F.col("hub.node").alias("x"), F.col("node").alias("y"), F.col("hub.comp").alias("cx"), F.col("comp").alias("cy")), now.drop("hub"))
