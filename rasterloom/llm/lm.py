@@ -21,13 +21,11 @@ takes whole texts as sparse numpy batches. The rarer tokens' own tree is trained
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,26 +42,45 @@ BRANCH = 1 << BITS
 ROUNDS, RATE, FAN, CHUNKS, COUNTERS = 2, 0.2, 32, 16, 600_000
 #: The end of a text: no word, as words hold no white space.
 END = b"\n"
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _M = np.uint64
 
 
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+def _tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of these texts in a row, and where each text ends."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words = lists.flatten()
+    full = pc.binary_length(words).to_numpy() > 0  # white space at either end of a text splits off an empty word
+    words = words.filter(pa.array(full)).cast(pa.binary())
+    ends = np.concatenate([[0], np.cumsum(full)])[np.cumsum(pc.list_value_length(lists).to_numpy())] + np.arange(1, len(lists) + 1)
+    inside = np.ones(len(words) + len(ends), bool)
+    inside[ends - 1] = False
+    place = np.where(inside, np.cumsum(inside) - 1, len(words))
+    return pa.concat_arrays([words, pa.array([END], pa.binary())]).take(pa.array(place)), ends
+
+
+def _hash(tokens: pa.Array) -> np.ndarray:
+    """Hashes of 61 bits and one above: polynomials in the bytes, mixed."""
+    if not len(tokens):
+        return np.empty(0, np.int64)
+    at = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset : tokens.offset + len(tokens) + 1].astype(np.int64)
+    data, size = np.frombuffer(tokens.buffers()[2], np.uint8)[at[0] : at[-1]], np.diff(at)
+    place = np.arange(len(data)) - np.repeat(at[:-1] - at[0], size)
+    power = np.cumprod(np.full(size.max(), 0x9E3779B97F4A7C15, _M))
+    sums = np.add.reduceat((data + _M(1)) * power[place], at[:-1] - at[0])
+    return ((_mix(_mix(sums)) >> _M(3)) | _M(1 << 61)).astype(np.int64)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter[bytes] = Counter()
-    flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
+    names, held = ["token", "n"], []
+    merged = lambda: pa.concat_tables(held).group_by("token", use_threads=False).aggregate([("n", "sum")]).rename_columns(names)
     for b in rows_of(batches, "text"):
-        for text in b.column(0).to_pylist():
-            seen.update(words(text))
-            seen[END] += 1
-        if len(seen) > COUNTERS:
-            yield flush()
-            seen.clear()
-    if seen:
-        yield flush()
+        held.append(pa.table(pc.value_counts(_tokens(b.column(0))[0]).flatten(), names))
+        if sum(map(len, held)) > 2 * COUNTERS:
+            held = [merged()]
+            if len(held[0]) > COUNTERS:
+                yield from held.pop().combine_chunks().to_batches()
+    if held:
+        yield from merged().combine_chunks().to_batches()
 
 
 class Tables:
@@ -132,7 +149,7 @@ class Model(Tables):
 
     def __init__(self, head: list[tuple[bytes, int]], total: int, distinct: int):
         self.total, self.distinct = total, distinct
-        self.number = {t: k for k, (t, _) in enumerate(head)}
+        self.tokens = pa.array([t for t, _ in head], pa.binary())
         self.counts = np.array([n for _, n in head] + [0], np.float64)
         self.n_out = min(OUTPUTS, len(head))
         # the k-th most frequent token is output PER_CLASS + k; output 0 is "other"
@@ -266,32 +283,29 @@ def _step(table: np.ndarray, heat: np.ndarray, steps: tuple) -> None:
         np.add.at(pairs, (r.astype(np.int64)[:, None] * width + np.arange(width)).reshape(-1), change.view(np.complex64).reshape(-1))
 
 
-def _positions(docs: list[list[bytes]], model: Model):
-    """The tokens in a row, their ids (-1: rarer than the head; the end included), the contexts before and before that (-2: none; rare
-    tokens by a hash), targets, leaves in the tree of other tokens, and where each text ends."""
-    ends = np.cumsum([len(d) + 1 for d in docs])
-    tokens: list[bytes] = []
-    for d in docs:
-        tokens += d
-        tokens.append(END)
-    ids = np.fromiter(map(model.number.get, tokens, repeat(-1)), np.int64, len(tokens))
+def _positions(texts: pa.Array, model: Model):
+    """The tokens rarer than the head and their positions, the ids of all tokens in a row (-1: rarer; the end included), the contexts before
+    and before that (-2: none; rare tokens by a hash), targets, leaves in the tree of other tokens, and where each text ends."""
+    tokens, ends = _tokens(texts)
+    ids = pc.index_in(tokens, value_set=model.tokens).fill_null(-1).to_numpy().astype(np.int64)
+    unknown = np.flatnonzero(ids < 0)
+    rare = tokens.take(pa.array(unknown))
     own = ids.copy()
-    for k in np.flatnonzero(ids < 0).tolist():
-        own[k] = (xxhash.xxh64_intdigest(tokens[k]) >> 2) | 1 << 61
+    own[unknown] = _hash(rare)
     starts = np.concatenate([[0], ends[:-1]])
     before, skip = np.concatenate([[-2], own[:-1]]), np.concatenate([[-2, -2], own[:-2]])[: len(ids)]
     before[starts] = skip[starts] = -2
     second = starts + 1
     skip[second[second < ends]] = -2
     leaf = np.where(ids < 0, len(model.counts) - 1, ids) - model.n_out
-    return tokens, ids, before, skip, np.where((ids >= 0) & (ids < model.n_out), ids + PER_CLASS, 0), leaf, ends
+    return rare, unknown, ids, before, skip, np.where((ids >= 0) & (ids < model.n_out), ids + PER_CLASS, 0), leaf, ends
 
 
 DELTA = "part long, chunk int, n double, change binary"
 
 
 def _learn_texts(own: Model, heat: list[np.ndarray], b: pa.RecordBatch) -> int:
-    _, _, before, skip, target, leaf, _ = _positions([words(t) for t in b.column(0).to_pylist()], own)
+    _, _, _, before, skip, target, leaf, _ = _positions(b.column(0), own)
     for at in range(0, len(target), BATCH):
         i = slice(at, at + BATCH)
         f, other = features(before[i], skip[i]), np.flatnonzero(target[i] == 0)
@@ -379,7 +393,7 @@ def fit(docs: DataFrame, learn: Column, scratch: Scratch, rounds: int = ROUNDS)
 def _ranked(counts: DataFrame, model: Model, scratch: Scratch) -> tuple[Tail, DataFrame]:
     """The untrained tree of the tokens rarer than the head, and these tokens with their counts and ranks (token, n, rank)."""
     # the head is all tokens from a count on
-    least = int(model.counts[:-1].min()) if len(model.number) else None
+    least = int(model.counts[:-1].min()) if len(model.tokens) else None
     rare = counts if least is None else counts.where(F.col("n") < least)
     level = F.floor(F.log2("n") * 16).cast("int")
     levels = rare.groupBy(level.alias("level")).agg(F.count("*").alias("c"), F.sum(F.col("n") + 1).alias("m")).orderBy(F.desc("level")).collect()  # a thousand at most
@@ -407,10 +421,9 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
     count_log = np.log10(model.counts + 1)
     log_seen = np.log10(max(model.rest - 1, 1))  # of all others' mass; an unseen token has 1
     for b in rows_of(batches, "text"):
-        docs = [words(t) for t in b.column(1).to_pylist()]
-        if not docs:
+        if not len(b):
             continue
-        tokens, ids, before, skip, target, leaf, ends = _positions(docs, model)
+        rare, unknown, ids, before, skip, target, leaf, ends = _positions(b.column(1), model)
         logs, gain = np.empty(len(ids)), np.zeros(len(ids))
         for at in range(0, len(target), BATCH):
             i = slice(at, at + BATCH)
@@ -422,10 +435,9 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
         logs += np.where(target == 0, np.where(ids >= 0, gain, 0.0) - log_rest, 0.0)
         starts = np.concatenate([[0], ends[:-1]])
         sums = lambda x: pa.array(np.add.reduceat(x, starts))  # noqa: E731, B023
-        unknown = np.flatnonzero(ids < 0)
-        occurs = pa.StructArray.from_arrays([pa.array([tokens[k] for k in unknown.tolist()], pa.binary()), *(pa.array(x[unknown]) for x in (before, skip, gain))], ["token", "before", "skip", "log"])
-        rows = (part << 40) + number + np.arange(len(docs))
-        number += len(docs)
+        occurs = pa.StructArray.from_arrays([rare, *(pa.array(x[unknown]) for x in (before, skip, gain))], ["token", "before", "skip", "log"])
+        rows = (part << 40) + number + np.arange(len(b))
+        number += len(b)
         yield pa.RecordBatch.from_arrays([
             pa.array(rows), b.column(0), pa.array(np.diff(np.concatenate([[0], ends]))), sums((ids >= 0).astype(np.int64)), sums(own - log_base), sums(logs),
             pa.ListArray.from_arrays(pa.array(np.searchsorted(unknown, np.concatenate([[0], ends])), pa.int32()), occurs),
